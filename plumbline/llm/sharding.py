@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, text_or_empty
+from plumbline.llm.common import text_or_empty
 
 #: Groups of equal texts lie in hash order in so many atomic bins; the number bounds what one task holds.
 BINS = 1 << 16
@@ -52,10 +52,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.withColumn("size", (F.octet_length(text) + F.lit(1)).cast("bigint"))
     rows = rows.withColumns({"_bin": bin_of, "text_crc32": F.crc32(text).cast("bigint"), "_hash": F.xxhash64(F.col(id_col), text)})
     bins = rows.groupBy(F.col("_bin").alias("bin")).agg(F.sum("size").alias("bytes"))
-    cuts = materialise(_cuts(bins, shards), "cuts")
-    found = rows.withColumn("_cuts", cuts.select("cuts").scalar())
-    found = found.withColumn("shard", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<int>")), lambda c: c <= F.col("_bin"))))
-    found = found.withColumn("_piece", F.pmod("_hash", F.lit(PIECES)).cast("int")).drop("_cuts", "_bin")
+    cuts = _cuts(bins, shards).first()["cuts"] or []  # shards - 1 numbers at most
+    shard = sum(((F.col("_bin") >= c).cast("int") for c in cuts), F.lit(0))
+    found = rows.withColumn("shard", shard)
+    found = found.withColumn("_piece", F.pmod("_hash", F.lit(PIECES)).cast("int")).drop("_bin")
     pieces = found.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
