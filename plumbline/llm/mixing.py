@@ -142,8 +142,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan_mix(docs, id_col, text_col, source_col, shards, weights, seed)
     rows = plan.withColumn("_d", F.explode("draws"))
     partial = (F.col("_d.pass") == F.floor((F.col("taken") - F.col("cut")) / F.col("size"))) & (F.col("cut") < F.col("size"))
-    # Java bounds a repeat count only by int; a possessive repeat keeps the match linear.
-    prefix = F.call_function("regexp_extract", F.col(text_col), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("cut").cast("string"), F.lit("}")), F.lit(0))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    prefix = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
     text = F.when(partial, prefix).otherwise(F.col(text_col))
     order = F.xxhash64(F.lit(seed + 2), F.col("mix_hash"), F.col("_d.pass"))
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in {"shard", "mix_order"}], F.col("_d.shard").alias("shard"), order.alias("mix_order"))

@@ -1,11 +1,15 @@
 """Queries and DuckDB oracles of this subpackage."""
 
-from plumbline.llm import exact_dedup, mixing, sharding
+from plumbline.llm import exact_dedup, mixing, packing, quality, secrets, sharding, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
+    "op5_packing": packing.query,
+    "op6_token_files": token_files.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_secrets": secrets.query,
+    "op9_quality": quality.query,
 }
 
 ORACLE_SQL = {
