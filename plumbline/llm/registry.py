@@ -1,10 +1,11 @@
 """Queries and DuckDB oracles of this subpackage."""
 
-from plumbline.llm import exact_dedup, mixing, packing, quality, secrets, sharding, token_files
+from plumbline.llm import exact_dedup, lm, mixing, packing, quality, secrets, sharding, token_files
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
+    "op4_lm": lm.query,
     "op5_packing": packing.query,
     "op6_token_files": token_files.query,
     "op7_exact_dedup": exact_dedup.query,
