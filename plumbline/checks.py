@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from enum import Enum
-from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from plumbline.anomaly import AnomalyDetector, DataPoint, Strategy
 from plumbline.constraints import ConstrainableType, Constraint, ConstraintResult, ConstraintStatus, type_share
@@ -25,6 +23,15 @@ def is_one(x: float) -> bool:
     return x == 1
 
 
+def quoted(column: str) -> str:
+    """A column's path in SQL text; one with back-quotes stays as it is."""
+    return column if "`" in column else ".".join(f"`{part}`" for part in column.split("."))
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class CheckLevel(str, Enum):
     ERROR = "Error"
     WARNING = "Warning"
@@ -88,14 +95,14 @@ class Check:
 
     def have_completeness(self, columns: Iterable[str], assertion: Assertion, hint: str | None = None) -> Check:
         columns = tuple(columns)
-        return self.satisfies(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)), f"Combined Completeness: {','.join(columns)}", assertion, hint)
+        return self.satisfies(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in columns), f"Combined Completeness: {','.join(columns)}", assertion, hint)
 
     def are_any_complete(self, columns: Iterable[str], hint: str | None = None) -> Check:
         return self.have_any_completeness(columns, is_one, hint)
 
     def have_any_completeness(self, columns: Iterable[str], assertion: Assertion, hint: str | None = None) -> Check:
         columns = tuple(columns)
-        return self.satisfies(reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in columns)), f"Any Completeness: {','.join(columns)}", assertion, hint)
+        return self.satisfies(" OR ".join(f"{quoted(c)} IS NOT NULL" for c in columns), f"Any Completeness: {','.join(columns)}", assertion, hint)
 
     # Keys and frequencies
     def is_unique(self, column: str, hint: str | None = None) -> Check:
@@ -195,35 +202,33 @@ class Check:
 
     def is_non_negative(self, column: str, assertion: Assertion = is_one, hint: str | None = None) -> Check:
         """Nulls pass."""
-        return self.satisfies(F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)) >= 0, f"{column} is non-negative", assertion, hint)
+        return self.satisfies(f"coalesce(try_cast({quoted(column)} AS double), 0.0D) >= 0", f"{column} is non-negative", assertion, hint)
 
     def is_positive(self, column: str, assertion: Assertion = is_one, hint: str | None = None, strict: bool = False) -> Check:
         """Nulls pass. Zero passes too, unless strict."""
-        x = F.coalesce(F.col(column).try_cast("double"), F.lit(1.0))
-        return self.satisfies(x > 0 if strict else x >= 0, f"{column} is positive", assertion, hint)
+        return self.satisfies(f"coalesce(try_cast({quoted(column)} AS double), 1.0D) {'>' if strict else '>='} 0", f"{column} is positive", assertion, hint)
 
     def is_less_than(self, a: str, b: str, assertion: Assertion = is_one, hint: str | None = None) -> Check:
-        return self.satisfies(F.col(a) < F.col(b), f"{a} is less than {b}", assertion, hint)
+        return self.satisfies(f"{quoted(a)} < {quoted(b)}", f"{a} is less than {b}", assertion, hint)
 
     def is_less_than_or_equal_to(self, a: str, b: str, assertion: Assertion = is_one, hint: str | None = None) -> Check:
-        return self.satisfies(F.col(a) <= F.col(b), f"{a} is less than or equal to {b}", assertion, hint)
+        return self.satisfies(f"{quoted(a)} <= {quoted(b)}", f"{a} is less than or equal to {b}", assertion, hint)
 
     def is_greater_than(self, a: str, b: str, assertion: Assertion = is_one, hint: str | None = None) -> Check:
-        return self.satisfies(F.col(a) > F.col(b), f"{a} is greater than {b}", assertion, hint)
+        return self.satisfies(f"{quoted(a)} > {quoted(b)}", f"{a} is greater than {b}", assertion, hint)
 
     def is_greater_or_equal_to(self, a: str, b: str, assertion: Assertion = is_one, hint: str | None = None) -> Check:
-        return self.satisfies(F.col(a) >= F.col(b), f"{a} is greater than or equal to {b}", assertion, hint)
+        return self.satisfies(f"{quoted(a)} >= {quoted(b)}", f"{a} is greater than or equal to {b}", assertion, hint)
 
     def is_contained_in(self, column: str, values: Iterable[str], assertion: Assertion = is_one, hint: str | None = None) -> Check:
         """Null or one of the values."""
         values = tuple(values)
-        return self.satisfies(F.col(column).isNull() | F.col(column).cast("string").isin(*map(str, values)), f"{column} contained in {','.join(map(str, values))}", assertion, hint)
+        return self.satisfies(f"{quoted(column)} IS NULL OR cast({quoted(column)} AS string) IN ({', '.join(literal(str(v)) for v in values)})", f"{column} contained in {','.join(map(str, values))}", assertion, hint)
 
     def is_contained_in_range(self, column: str, low: float, high: float, include_low: bool = True, include_high: bool = True, hint: str | None = None) -> Check:
         """Null or a number between two others."""
-        x = F.col(column)
-        inside = (x >= low if include_low else x > low) & (x <= high if include_high else x < high)
-        return self.satisfies(x.isNull() | inside, f"{column} between {low} and {high}", is_one, hint)
+        x, above, below = quoted(column), ">=" if include_low else ">", "<=" if include_high else "<"
+        return self.satisfies(f"{x} IS NULL OR ({x} {above} {float(low)!r}D AND {x} {below} {float(high)!r}D)", f"{column} between {low} and {high}", is_one, hint)
 
     def is_newest_point_non_anomalous(self, repository, strategy: Strategy, analyzer: Analyzer, with_tags: Mapping[str, str] | None = None, after: int | None = None, before: int | None = None, hint: str | None = None) -> Check:
         """The metric is no anomaly after those of the repository; without any there the constraint fails."""

@@ -70,7 +70,8 @@ class GroupingAnalyzer(Analyzer):
         return self.metric(float(value))
 
 
-_F = F.col(FREQUENCY)
+def _freq() -> Column:
+    return F.col(FREQUENCY)
 
 
 def _columns(columns) -> tuple[str, ...]:
@@ -91,7 +92,7 @@ class Uniqueness(_Columns):
     metric_name: ClassVar[str] = "Uniqueness"
 
     def value_agg(self):
-        return F.sum((_F == 1).cast("double")) / F.sum(_F)
+        return F.sum((_freq() == 1).cast("double")) / F.sum(_freq())
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,7 @@ class Distinctness(_Columns):
     metric_name: ClassVar[str] = "Distinctness"
 
     def value_agg(self):
-        return F.count_if(_F >= 1).cast("double") / F.sum(_F)
+        return F.count_if(_freq() >= 1).cast("double") / F.sum(_freq())
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ class UniqueValueRatio(_Columns):
     metric_name: ClassVar[str] = "UniqueValueRatio"
 
     def value_agg(self):
-        return F.sum((_F == 1).cast("double")) / F.nullif(F.count(_F), F.lit(0))
+        return F.sum((_freq() == 1).cast("double")) / F.nullif(F.count(_freq()), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ class CountDistinct(_Columns):
     metric_name: ClassVar[str] = "CountDistinct"
 
     def value_agg(self):
-        return F.count(_F).cast("double")
+        return F.count(_freq()).cast("double")
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ class Entropy(GroupingAnalyzer):
         return [self.column]
 
     def value_agg(self):
-        return F.ln(F.sum(_F)) - F.sum(_F * F.ln(_F)) / F.sum(_F)
+        return F.ln(F.sum(_freq())) - F.sum(_freq() * F.ln(_freq())) / F.sum(_freq())
 
 
 @dataclass(frozen=True)
@@ -169,14 +170,14 @@ class MutualInformation(_Columns):
         return [X.exactly(2, self.columns), *super().preconditions()]
 
     def prepare(self, table):
-        return {f"__m{i}": F.sum(_F).over(Window.partitionBy(f"k{i}")) for i in range(2)}
+        return {f"__m{i}": F.sum(_freq()).over(Window.partitionBy(f"k{i}")) for i in range(2)}
 
     def value_agg(self):
         there = F.col("k0").isNotNull() & F.col("k1").isNotNull()
         x, y = F.col("__m0"), F.col("__m1")
         # sum f/N ln(f N / (x y)) = (sum f ln(f / (x y)) + ln N sum f) / N over pairs without null
-        part = F.sum(F.when(there, _F * (F.ln(_F) - F.ln(x) - F.ln(y))).otherwise(0.0))
-        return (part + F.ln(F.sum(_F)) * F.sum(F.when(there, _F).otherwise(0))) / F.sum(_F)
+        part = F.sum(F.when(there, _freq() * (F.ln(_freq()) - F.ln(x) - F.ln(y))).otherwise(0.0))
+        return (part + F.ln(F.sum(_freq())) * F.sum(F.when(there, _freq()).otherwise(0))) / F.sum(_freq())
 
 
 @dataclass(frozen=True)

@@ -69,7 +69,7 @@ class Loader:
     def get(self) -> list[AnalysisResult]:
         """Dates count inclusively."""
         out = []
-        for r in self._results:
+        for r in sorted(self._results, key=lambda r: r.key.data_set_date):
             if self._after is not None and r.key.data_set_date < self._after or self._before is not None and r.key.data_set_date > self._before:
                 continue
             if self._tags is not None and not (all if self._all else any)(r.key.tags.get(k) == v for k, v in self._tags.items()):
