@@ -32,8 +32,11 @@ class Terms:
     """Of a block's documents: for each token the keys of the word (odd) and of the pair with the word before (even)."""
 
     def __init__(self, texts):
+        from plumbline.llm import caches
         from plumbline.llm.words import mixed, word_hashes
 
+        caches.only("words")
+
         words, pairs, self.lengths = [], [], []
         for text in texts:
             h = word_hashes(text)
@@ -43,15 +46,19 @@ class Terms:
         one = np.uint64(1)
         w = np.concatenate(words) if words else np.zeros(0, np.uint64)
         before = np.concatenate(pairs) if pairs else w
-        self.pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + w) & ~one
-        # A document starts as often as one ends, and every other word stands before one.
-        self.words = mixed(w) | one
-        self.contexts = mixed(np.where(before == np.uint64(_START), np.uint64(_END), before)) | one
+        pair_keys = mixed(before * np.uint64(0x9E3779B97F4A7C15) + w) & ~one
+        both = np.concatenate([mixed(w) | one, pair_keys])
+        order = np.argsort(both)
+        both = both[order]
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        self.keys, at = both[new], np.empty(len(both), np.int64)
+        at[order] = np.cumsum(new) - 1
+        #: Of each token: the places of its word, its pair and its context's word among the keys.
+        self.words, self.pairs = at[: len(w)], at[len(w) :]
+        # The word before; at a document's start the end of the one before it, as often as ends are starts.
+        self.contexts = np.roll(self.words, 1)
         self.starts = np.cumsum([0, *self.lengths[:-1]]) if self.lengths else np.zeros(0, np.int64)
-        self.keys = np.unique(np.concatenate([self.words, self.pairs]))
-
-    def look(self, wanted: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, wanted)
 
 
 def _sixes(keys: np.ndarray) -> bytes:
@@ -122,7 +129,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ask(t: pa.Table) -> pa.Table:
         terms = Terms(s.as_py() for s in t.column("text"))
         train = np.repeat(t.column("fold").to_numpy() != HELD_OUT, terms.lengths).astype(float)
-        counts = np.bincount(terms.look(terms.words), train, len(terms.keys)) + np.bincount(terms.look(terms.pairs), train, len(terms.keys))
+        counts = np.bincount(terms.words, train, len(terms.keys)) + np.bincount(terms.pairs, train, len(terms.keys))
         counts = counts.astype(np.int64)
         ends = np.searchsorted(terms.keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(shift))
         parts = zip([0, *ends], [*ends, len(terms.keys)], strict=True)
@@ -164,8 +171,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def histogram(t: pa.Table, found: pa.Table) -> pa.Table:
         terms = Terms(s.as_py() for s in t.column("text"))
         c = counts_of(found, "kept", "kept_large")
-        context = c[terms.look(terms.contexts)]
-        p2, p1 = estimates(c[terms.look(terms.pairs)], context, c[terms.look(terms.words)], kept_tokens)
+        context = c[terms.contexts]
+        p2, p1 = estimates(c[terms.pairs], context, c[terms.words], kept_tokens)
         code = [np.where(p > 0, 1 + np.round(-12 * np.log2(np.maximum(p, 1e-300))), 0).astype(np.int64) for p in (p2, p1)]
         keys, times = np.unique(context_bucket(context) << 32 | code[0] << 16 | code[1], return_counts=True)
         return pa.table({"key": pa.array(keys), "times": pa.array(times.astype(np.int64))})
@@ -180,8 +187,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(t: pa.Table, found: pa.Table) -> pa.Table:
         terms = Terms(s.as_py() for s in t.column("text"))
         c = counts_of(found, "counts", "large")
-        word, context = c[terms.look(terms.words)], c[terms.look(terms.contexts)]
-        p2, p1 = estimates(c[terms.look(terms.pairs)], context, word, tokens)
+        word, context = c[terms.words], c[terms.contexts]
+        p2, p1 = estimates(c[terms.pairs], context, word, tokens)
         mix = weights[context_bucket(context)]
         logs = np.log10(mix[:, 0] * p2 + mix[:, 1] * p1 + mix[:, 2] * uniform)
         base = np.log10((word + 0.1) / (tokens + 0.1 * (vocabulary + 1)))
