@@ -9,12 +9,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
+from plumbline.llm import caches
+
 _CACHES: dict[str, Encoder] = {}
 #: Words in each of a cache's two generations.
-GENERATION = 300_000
+GENERATION = 500_000
 
 
 class _Cache(dict):
@@ -28,7 +31,7 @@ class _Cache(dict):
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
-        if len(word) <= 64:
+        if len(word) <= 40 and "\n" not in word or word == "\n":
             if len(self) >= GENERATION:
                 self.old = dict(self)
                 self.clear()
@@ -55,7 +58,7 @@ class Encoder:
         kinds = json.dumps(spec["pre_tokenizer"])
         self.known = '"ByteLevel"' in kinds and (self.keeps_space or '"Removed"' in kinds) and '"add_prefix_space": false' in kinds
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
         self.byte_text = {b: b if b in set(visible) else next(hidden) for b in range(256)}
@@ -63,12 +66,20 @@ class Encoder:
         self.first, self.later = _Cache(lambda w: self._word(w, "")), _Cache(lambda w: self._word(w, " "))
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str, before: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            text = word if self.keeps_space else word.lower()
+            return self._pack([t.id for t in self.model.tokenize(self.space + text if before else text)])
+        if "\n" in word and not word.isspace():
+            # A line's end alone between words: neither joins with what is beside it.
+            head, *rest = word.split("\n")
+            cache, line = (self.later if before else self.first), (self.first["\n"] if self.keeps_space else b"")
+            return (cache[head] if head else self.first[before]) + b"".join(line + (self.first[r] if r else b"") for r in rest)
         if self._LETTERS.match(word):
             text = (word if self.keeps_space else word.lower()).encode().decode("latin-1").translate(self.byte_text)
-            return self._pack([t.id for t in self.model.tokenize((self.space if before else "") + text)])
+            return self._pack([t.id for t in self.model.tokenize(self.space + text if before else text)])
         if len(word) > 1 and word[-1] in ".,!" and self._LETTERS.match(word[:-1]):
             cache = self.later if before else self.first
             return cache[word[:-1]] + self.first[word[-1]]
@@ -84,6 +95,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file; it stays with the worker process."""
+    caches.only("tokens")
     if path not in _CACHES:
         _CACHES[path] = Encoder(path)
     return _CACHES[path]
