@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import caches
 from plumbline.llm.common import id_fold, text_or_empty
 
 DIMS = 1 << 20
@@ -26,7 +27,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
         runs = [r if not _KINDS.match(r) else "A" if r[0].isupper() else "0" if r[0].isdigit() else "a" for r in _RUNS.findall(word[:64])]
         shape = "".join(r for i, r in enumerate(runs) if i == 0 or r != runs[i - 1])
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = (zlib.crc32(word.lower().encode()), zlib.crc32(shape.encode(), 7))
         return found
@@ -148,6 +149,7 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_t")).join(F.broadcast(chosen), "_id")  # at most `sample` rows of two numbers
 
     def extract(batches):
+        caches.only("quality")
         for batch in batches:
             found = [features(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["id", "y", "f"])
@@ -175,6 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = docs.sparkSession.sparkContext.broadcast(train_model(docs, labels, id_col, text_col, label_col, sample).astype(np.float32))
 
     def score(batches):
+        caches.only("quality")
         m = model.value.astype(np.float64)
         for batch in batches:
             scores = pa.array([score_text(m, t.as_py()) for t in batch.column(2)], pa.float64())
@@ -191,6 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     at = docs.columns.index(text_col)
 
     def keep(batches):
+        caches.only("quality")
         m = model.value.astype(np.float64)
         for batch in batches:
             yield batch.filter(pa.array([score_text(m, t.as_py() or "") >= REJECT for t in batch.column(at)], pa.bool_()))
