@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import caches
 from plumbline.llm.common import materialise, text_bytes, text_or_empty
-from plumbline.llm.graph import components
+from plumbline.llm.graph import components, smallest
 
 BUCKET_BYTES = 8 << 20  # text whose keys meet in a bucket
 WINDOW_BYTES = 16 << 20  # text that a task contracts at once
@@ -16,6 +17,7 @@ SAMPLE = 4000  # documents, at most, in which frequent shingles are looked for
 FREQUENT = 8  # documents of the sample that make a shingle frequent
 LEAF, FANOUT = 16, 4
 FILTER_BITS = 1 << 22
+TOGETHER = 20_000  # documents whose sets a task may hold
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -280,13 +282,13 @@ def block_pairs(token: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.
     return names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of ids, those whose whole sets are linked. docs has id and text.
+def _wanted_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (id, s) of the documents in pairs, and of few others: s has the upper 48 bits of the set's hashes.
 
     A bitmap of FILTER_BITS over the ids, which has that size whatever the number of pairs, keeps most other
-    documents out of the joins that bring each pair its two sets.
+    documents out.
     """
-    from plumbline.llm.words import shingles
+    from plumbline.llm.words import pack48, shingles
 
     ids = pairs.select(F.explode(F.array("u", "v")).alias("i"))
 
@@ -302,21 +304,121 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap).astype(bool))
 
     def sets(batches):
+        caches.only("words")
         for batch in batches:
             wanted = np.flatnonzero(shared.value[_slot(batch.column(0).to_numpy(zero_copy_only=False))]) if batch.num_rows else []
             text = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(wanted, pa.int64())), pa.array([shingles(text[int(k)].as_py()).tobytes() for k in wanted], pa.binary())], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(wanted, pa.int64())), pa.array([pack48(shingles(text[int(k)].as_py())) for k in wanted], pa.binary())], names=["id", "s"])
+
+    return docs.filter("id IS NOT NULL").mapInArrow(sets, "id bigint, s binary")
 
-    found = docs.filter("id IS NOT NULL").mapInArrow(sets, "id bigint, s binary")
-    left = pairs.join(found.withColumnsRenamed({"id": "u", "s": "su"}), "u")
-    both = left.join(found.withColumnsRenamed({"id": "v", "s": "sv"}), "v").select("u", "v", "su", "sv")
 
-    def test(batches):
+def verify_groups(groups: DataFrame, followed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, ok) within groups (node, component) of at most TOGETHER ids.
+
+    ok: links that connect all whose whole sets are linked. Not ok: pairs that signatures do not rule out,
+    that no link connects, and of which one has followers. A document's set travels once, to the task
+    of its component, where a signature tree finds the pairs and those already connected need no test.
+    """
+    from plumbline.llm.words import unpack48
+
+    groups = materialise(groups.select("node", "component").join(followed.withColumn("followed", F.lit(True)), groups["node"] == followed["id"], "left").select("node", "component", F.coalesce("followed", F.lit(False)).alias("followed")), "near-groups")
+    total = groups.count()
+    if not total:
+        return docs.sparkSession.createDataFrame([], "u bigint, v bigint, ok boolean")
+    sets = _wanted_sets(groups.select(F.col("node").alias("u"), F.col("node").alias("v")), docs)
+    tasks = total // 2000 + 1
+    dealt = sets.join(groups, sets["id"] == groups["node"]).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int"))
+
+    def test(t: pa.Table) -> pa.Table:
+        ids, group, followed = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("followed").to_pylist()
+        own = [unpack48(x.as_buffer()) for x in t.column("s")]
+        n = np.array([len(x) for x in own])
+        signs = [signature(x, width_of(len(x))).tobytes() for x in own]
+        i, j = block_pairs(group, np.arange(len(ids)), n, n, signs, [None] * len(ids), percent)
+        root = {k: k for k in ids.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out, other = [], []
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            u, v = int(ids[a]), int(ids[b])
+            x, y = top(u), top(v)
+            if x == y:
+                continue
+            if linked(own[a], own[b], percent):
+                root[max(x, y)] = min(x, y)
+                out.append((u, v, True))
+            elif followed[a] or followed[b]:
+                other.append((u, v))
+        out += [(u, v, False) for u, v in other if top(u) != top(v)]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64()), "ok": pa.array([x[2] for x in out], pa.bool_())})
+
+    return dealt.select("bucket", "id", "component", "followed", "s").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(test, "u bigint, v bigint, ok boolean")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links among pairs (u, v) of ids that connect all those whose whole sets are linked. docs has id and text.
+
+    Pairs fall into components, so a document's set travels to one task, once, and pairs that links found
+    before already connect need no test. A component of more than TOGETHER documents is not gathered: its
+    pairs are joined with their two sets and tested one by one.
+    """
+    from plumbline.llm.words import unpack48
+
+    found = components(pairs)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.sum("size").alias("n"), F.max("size").alias("most")).first()
+    if not total["n"]:
+        return pairs.limit(0)
+    sets = _wanted_sets(pairs, docs)
+    large = None
+    if total["most"] > TOGETHER:
+        big = found.join(sizes.filter(F.col("size") > TOGETHER), "component", "left_semi").select(F.col("node").alias("u"))
+        large, pairs = materialise(pairs.join(big, "u", "left_semi"), "near-large"), pairs.join(big, "u", "left_anti")
+        found = found.join(big, found["node"] == big["u"], "left_anti")
+    tasks = total["n"] // 4000 + 1
+    bucket = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int")
+    place = found.select("node", bucket.alias("bucket"))
+    dealt = sets.join(place, sets["id"] == place["node"]).select("bucket", "id", "s").repartition(tasks, "bucket")
+    asked = pairs.join(place, pairs["u"] == place["node"]).select(F.col("bucket").alias("bucket"), "u", "v").repartition(tasks, "bucket")
+
+    def test(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        by_id: dict[int, list[np.ndarray]] = {}
+        for i, s in zip(own.column("id").to_pylist(), own.column("s"), strict=True):
+            by_id.setdefault(i, []).append(unpack48(s.as_buffer()))
+        root = {i: i for i in by_id}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for u, v in sorted(zip(wanted.column("u").to_pylist(), wanted.column("v").to_pylist(), strict=True)):
+            a, b = top(u), top(v)
+            if a != b and any(linked(x, y, percent) for x in by_id[u] for y in by_id[v]):
+                root[max(a, b)] = min(a, b)
+                out.append((u, v))
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    links = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(test, "u bigint, v bigint")
+    if large is None:
+        return links
+
+    def each(batches):
         for batch in batches:
-            ok = [linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            ok = [linked(unpack48(a.as_buffer()), unpack48(b.as_buffer()), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(test, "u bigint, v bigint")
+    sets = _wanted_sets(large, docs)
+    both = large.join(sets.withColumnsRenamed({"id": "u", "s": "su"}), "u").join(sets.withColumnsRenamed({"id": "v", "s": "sv"}), "v")
+    return links.unionByName(both.select("u", "v", "su", "sv").mapInArrow(each, "u bigint, v bigint"))
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -346,6 +448,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def contract(batches):
         from pyspark import TaskContext
 
+        caches.only("words")
         number = TaskContext.get().partitionId()
         w = _Window(percent)
         for batch in batches:
@@ -369,10 +472,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         u, v = block_pairs(get("token"), get("leader"), get("low"), get("high"), t.column("s").to_pylist(), t.column("t").to_pylist(), percent)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    candidates = shared.join(nodes, "leader").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(pairs, "u bigint, v bigint")
-    candidates = materialise(candidates.distinct(), "near-candidates")
-    links = materialise(verify(candidates, rows, percent), "near-links")
+    def forest(t: pa.Table) -> pa.Table:
+        """Fewer links than leaders, which connect those that pairs() connects."""
+        found = pairs(t)
+        names, at = np.unique(np.concatenate([found.column("u").to_numpy(), found.column("v").to_numpy()]), return_inverse=True)
+        root = smallest(len(names), at[: found.num_rows], at[found.num_rows :])
+        on = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": pa.array(names[on], pa.int64()), "v": pa.array(names[root[on]], pa.int64())})
+
     followers = members.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
+    keyed_nodes = shared.join(nodes, "leader")
+    reach = components(keyed_nodes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(forest, "u bigint, v bigint"))
+    sizes = materialise(reach.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
+    large = sizes.filter(F.col("size") > TOGETHER).select("component")
+    tested = verify_groups(reach.join(sizes.filter(F.col("size") <= TOGETHER), "component"), followers.select(F.col("v").alias("id")).distinct(), rows, percent)
+    tested = materialise(tested, "near-tested")
+    links, candidates = tested.filter("ok").select("u", "v"), tested.filter("NOT ok").select("u", "v")
+    if large.limit(1).count():
+        # Too many to gather: their pairs are listed, and verified one by one.
+        own = reach.join(large, "component", "left_semi").select(F.col("node").alias("leader"))
+        listed = keyed_nodes.join(own, "leader", "left_semi").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(pairs, "u bigint, v bigint")
+        listed = materialise(listed.distinct(), "near-listed")
+        links, candidates = links.unionByName(materialise(verify(listed, rows, percent), "near-links")), candidates.unionByName(listed)
     found = components(links)
 
     # Members other than leaders matter only where the leaders' groups are not connected yet.

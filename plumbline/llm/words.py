@@ -46,3 +46,14 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
     for i in range(k):
         s = mixed(s * _M + h[i : n - k + 1 + i])
     return np.unique(s)
+
+
+def pack48(h: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, six bytes each, in the same order."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack48(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()

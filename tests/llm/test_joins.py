@@ -58,9 +58,10 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("window", [1 << 24, 2000, 1])
-def test_near_copies(spark, copies, window, monkeypatch):
+@pytest.mark.parametrize(("window", "together"), [(1 << 24, 20000), (2000, 20000), (1, 20000), (1, 3)])
+def test_near_copies(spark, copies, window, together, monkeypatch):
     monkeypatch.setattr(near_dup, "WINDOW_BYTES", window)
+    monkeypatch.setattr(near_dup, "TOGETHER", together)
     df = spark.createDataFrame(copies, "doc_id bigint, text string")
     assert found(near_dup.near_components(df)) == near(copies)
 
