@@ -186,7 +186,8 @@ def _flush(w: _Window, frequent: np.ndarray, buckets: int, number: int) -> pa.Re
         keys.append(p)
         owners.append(np.full(len(p), w.names[k], np.int64))
         sizes = [len(s) for s in members]
-        signs = np.stack([signature(s, width_of(max(sizes))) for s in members])
+        # Of the bits that verify_groups has too: its sets are the upper 48 bits.
+        signs = np.stack([signature(s >> np.uint64(16), width_of(max(sizes))) for s in members])
         some, every = np.bitwise_or.reduce(signs), np.bitwise_and.reduce(signs)
         out.append((number % buckets, 2, as_bytes([w.names[k], min(sizes), max(sizes)]), some.tobytes(), None if len(signs) == 1 else every.tobytes()))
     if keys:
@@ -313,29 +314,35 @@ def _wanted_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.filter("id IS NOT NULL").mapInArrow(sets, "id bigint, s binary")
 
 
-def verify_groups(groups: DataFrame, followed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def verify_groups(groups: DataFrame, wide: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, ok) within groups (node, component) of at most TOGETHER ids.
 
-    ok: links that connect all whose whole sets are linked. Not ok: pairs that signatures do not rule out,
-    that no link connects, and of which one has followers. A document's set travels once, to the task
-    of its component, where a signature tree finds the pairs and those already connected need no test.
+    ok: links that connect all whose whole sets are linked. Not ok: pairs whose followers may be linked though no
+    link here connects them. wide has a node (leader, low, high, s, t) for each leader and its followers, where
+    their sets differ. A document's set travels once, to the task of its component, where a signature tree
+    finds the pairs and those already connected need no test. Leaders are tested by their own sets; then
+    pairs of nodes of which one is wide are sought by the nodes. Distances, 1 less the similarity, obey the
+    triangle inequality, so followers of leaders that are further apart than three times the distance of a
+    link, or two where only one is wide, are not linked.
     """
     from plumbline.llm.words import unpack48
 
-    groups = materialise(groups.select("node", "component").join(followed.withColumn("followed", F.lit(True)), groups["node"] == followed["id"], "left").select("node", "component", F.coalesce("followed", F.lit(False)).alias("followed")), "near-groups")
+    groups = materialise(groups.select("node", "component"), "near-groups")
     total = groups.count()
     if not total:
         return docs.sparkSession.createDataFrame([], "u bigint, v bigint, ok boolean")
     sets = _wanted_sets(groups.select(F.col("node").alias("u"), F.col("node").alias("v")), docs)
     tasks = total // 2000 + 1
-    dealt = sets.join(groups, sets["id"] == groups["node"]).withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int"))
-
-    def test(t: pa.Table) -> pa.Table:
-        ids, group, followed = t.column("id").to_numpy(), t.column("component").to_numpy(), t.column("followed").to_pylist()
-        own = [unpack48(x.as_buffer()) for x in t.column("s")]
-        n = np.array([len(x) for x in own])
+    bucket = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("bucket")
+    dealt = sets.join(groups, sets["id"] == groups["node"]).select(bucket, "id", "component", "s").repartition(tasks, "bucket")
+    places = groups.select(F.col("node").alias("place"), F.col("component").alias("group"), bucket.alias("at"))
+    nodes = wide.join(places, wide["leader"] == places["place"]).select(F.col("at").alias("bucket"), "leader", "group", "low", "high", "s", "t").repartition(tasks, "bucket")
+
+    def test(mine: pa.Table, wide: pa.Table) -> pa.Table:
+        ids, group = mine.column("id").to_numpy(), mine.column("component").to_numpy()
+        own = [unpack48(x.as_buffer()) for x in mine.column("s")]
+        n = np.array([len(x) for x in own], np.int64)
         signs = [signature(x, width_of(len(x))).tobytes() for x in own]
-        i, j = block_pairs(group, np.arange(len(ids)), n, n, signs, [None] * len(ids), percent)
         root = {k: k for k in ids.tolist()}
 
         def top(x: int) -> int:
@@ -344,21 +351,35 @@ def verify_groups(groups: DataFrame, followed: DataFrame, docs: DataFrame, perce
                 x = root[x]
             return x
 
-        out, other = [], []
+        out = []
+        i, j = block_pairs(group, np.arange(len(ids)), n, n, signs, [None] * len(ids), percent) if len(ids) else (ids, ids)
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             u, v = int(ids[a]), int(ids[b])
             x, y = top(u), top(v)
-            if x == y:
-                continue
-            if linked(own[a], own[b], percent):
+            if x != y and linked(own[a], own[b], percent):
                 root[max(x, y)] = min(x, y)
                 out.append((u, v, True))
-            elif followed[a] or followed[b]:
-                other.append((u, v))
-        out += [(u, v, False) for u, v in other if top(u) != top(v)]
+        if wide.num_rows:
+            get = lambda c: wide.column(c).to_numpy()
+            rows = np.flatnonzero(np.isin(group, get("group")))
+            i, j = block_pairs(
+                np.r_[group[rows], get("group")], np.r_[ids[rows], get("leader")], np.r_[n[rows], get("low")], np.r_[n[rows], get("high")],
+                [signs[k] for k in rows] + wide.column("s").to_pylist(), [None] * len(rows) + wide.column("t").to_pylist(), percent,
+            )
+            names = np.unique(ids)
+            tops = np.array([top(x) for x in names.tolist()])
+            many = np.isin(i, get("leader")).astype(int) + np.isin(j, get("leader"))
+            open_pairs = np.flatnonzero((tops[np.searchsorted(names, i)] != tops[np.searchsorted(names, j)]) & (many > 0))
+            by_id: dict[int, list[np.ndarray]] = {}
+            for k in rows.tolist():
+                by_id.setdefault(int(ids[k]), []).append(own[k])
+            for u, v, k in zip(i[open_pairs].tolist(), j[open_pairs].tolist(), many[open_pairs].tolist(), strict=True):
+                least = 100 - (1 + k) * (100 - percent)
+                if any(linked(x, y, least) for x in by_id[u] for y in by_id[v]):
+                    out.append((u, v, False))
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64()), "ok": pa.array([x[2] for x in out], pa.bool_())})
 
-    return dealt.select("bucket", "id", "component", "followed", "s").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(test, "u bigint, v bigint, ok boolean")
+    return dealt.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(test, "u bigint, v bigint, ok boolean")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -485,7 +506,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach = components(keyed_nodes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(forest, "u bigint, v bigint"))
     sizes = materialise(reach.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     large = sizes.filter(F.col("size") > TOGETHER).select("component")
-    tested = verify_groups(reach.join(sizes.filter(F.col("size") <= TOGETHER), "component"), followers.select(F.col("v").alias("id")).distinct(), rows, percent)
+    tested = verify_groups(reach.join(sizes.filter(F.col("size") <= TOGETHER), "component"), nodes.filter("t IS NOT NULL"), rows, percent)
     tested = materialise(tested, "near-tested")
     links, candidates = tested.filter("ok").select("u", "v"), tested.filter("NOT ok").select("u", "v")
     if large.limit(1).count():

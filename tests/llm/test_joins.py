@@ -66,6 +66,22 @@ def test_near_copies(spark, copies, window, together, monkeypatch):
     assert found(near_dup.near_components(df)) == near(copies)
 
 
+@pytest.mark.parametrize(("window", "together"), [(1 << 24, 20000), (2000, 20000), (1, 20000), (1 << 24, 2), (1, 2)])
+def test_links_of_followers(spark, window, together, monkeypatch):
+    """A follower is linked to a document, or to its follower, that its leader is too large to be linked to."""
+    monkeypatch.setattr(near_dup, "WINDOW_BYTES", window)
+    monkeypatch.setattr(near_dup, "TOGETHER", together)
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{k}" for k in range(104)]
+        cuts = [(0, 104), (10, 94), (18, 87), (24, 79)][: 3 + g % 2]
+        rows += [(len(rows) + k, " ".join(words[a:z])) for k, (a, z) in enumerate(cuts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = near(rows)
+    assert len({c for *_, c in want}) == 12
+    assert found(near_dup.near_components(df)) == want
+
+
 def test_near_copies_edges(spark):
     assert found(near_dup.near_components(data.documents(spark))) == near(data.ROWS)
     assert near_dup.near_components(data.empty(spark)).count() == 0
