@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +13,6 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import materialise, text_or_empty
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Nodes that the branch and bound may visit for one filling before its incumbent is taken.
-NODES = 20_000
-#: Branches of a node, longest pieces first; shorter ones than these are tried below them.
-WIDTH = 64
-
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document of n ids: whole if it fits, else full pieces after a shorter first one."""
@@ -29,13 +23,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
-def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: int = NODES) -> list[int]:
+def best_filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
     """The filling of room with pieces of the given lengths (sorted up, counts available) that wastes least.
 
-    Best-fit decreasing gives the incumbent. Branches take lengths in descending order, so each multiset
-    is met once; a branch ends when even its largest possible filling wastes no less than the incumbent.
-    Among equal waste the incumbent with the longest pieces, met first, stays: it dominates those that
-    fill the same room with shorter ones, which fit elsewhere more easily.
+    Best-fit decreasing is tried first. Where it wastes room, branches take lengths in descending order,
+    each as often as it goes, and one ends unless the shorter lengths can fill the rest exactly: the sums
+    that they reach, a bit for each, say so, so no branch is taken back. Among equal waste the filling
+    with the longest pieces is taken: it dominates those that fill the same room with shorter ones, which
+    fit elsewhere more easily.
     """
     best: list[int] = []
     left, used = room, {}
@@ -48,38 +43,33 @@ def best_filling(room: int, lengths: list[int], counts: dict[int, int], nodes: i
         best.append(lengths[i])
         used[lengths[i]] = used.get(lengths[i], 0) + 1
         left -= lengths[i]
-    waste, budget = left, nodes
-    if waste == 0:
+    if left == 0:
         return best
-    volume = [*accumulate(x * counts[x] for x in lengths)]
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(lengths) - 1, ())]
-    while stack and budget and waste:
-        left, top, chosen = stack.pop()
-        budget -= 1
-        if left < waste:
-            best, waste = list(chosen), left
-            if not waste:
-                break
-        top = min(top, bisect_left(lengths, left + 1) - 1)
-        branches = []
-        for i in range(top, -1, -1):
-            x = lengths[i]
-            if chosen.count(x) >= counts[x]:
-                continue
-            if left - volume[i] >= waste:  # all pieces up to x together leave no less than the incumbent
-                break
-            branches.append((left - x, i, (*chosen, x)))
-            if len(branches) >= WIDTH:
-                break
-        stack.extend(reversed(branches))
+    whole, reach = (1 << (room + 1)) - 1, [1]
+    for x in lengths[: bisect_left(lengths, room + 1)]:
+        sums, n, step = reach[-1], min(counts[x], room // x), 1
+        while n:
+            step = min(step, n)
+            sums |= (sums << (step * x)) & whole
+            n -= step
+            step *= 2
+        reach.append(sums)
+    left, best = reach[-1].bit_length() - 1, []
+    for i in range(len(reach) - 2, -1, -1):
+        x = lengths[i]
+        n = next(n for n in range(min(counts[x], left // x), -1, -1) if reach[i] >> (left - n * x) & 1)
+        best += [x] * n
+        left -= n * x
     return best
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (piece lengths, longest first) with how many sequences have them, for all pieces.
 
     Each pattern completes the longest piece that remains, and is repeated as often as its pieces last,
-    so that every step uses up at least one length: there are at most as many patterns as lengths.
+    so that every step uses up at least one length: there are at most as many patterns as lengths. Each
+    filling wastes least of what is left, but fillings are not taken back, so there can be more sequences
+    than the fewest possible.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     out = []
@@ -90,7 +80,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = NODES) ->
         rest[largest] -= 1
         if not rest[largest]:
             del rest[largest]
-        pattern = (largest, *best_filling(capacity - largest, sorted(rest), rest, nodes))
+        pattern = (largest, *best_filling(capacity - largest, sorted(rest), rest))
         need = {x: pattern.count(x) for x in set(pattern)}
         times = min(left[x] // n for x, n in need.items())
         out.append((pattern, times))

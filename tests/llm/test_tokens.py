@@ -58,6 +58,19 @@ def test_histogram_packing_is_close_to_the_optimum():
         assert sum(n for _, n in packed) <= optimum(items, 20) + 1
 
 
+def test_filling_is_the_fullest():
+    lengths = [256, *range(448, 512)]
+    assert packing.best_filling(512, lengths, {x: 2 if x == 256 else 1 for x in lengths}) == [256, 256]
+    rng = random.Random(5)
+    for _ in range(60):
+        counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 7))}
+        room, sums = rng.randint(1, 90), {0}
+        for x, n in counts.items():
+            sums = {s + k * x for s in sums for k in range(n + 1)}
+        filling = packing.best_filling(room, sorted(counts), counts)
+        assert sum(filling) == max(s for s in sums if s <= room) and all(filling.count(x) <= counts[x] for x in filling)
+
+
 def test_pack(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
