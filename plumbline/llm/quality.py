@@ -16,16 +16,18 @@ from plumbline.llm.common import id_fold, text_or_empty
 DIMS = 1 << 20
 #: Labelled rows that the classifier is fitted on, at most: those first by a hash of the id.
 SAMPLE = 8000
+#: Characters of a word that one shape is of; a longer word has a shape for each piece of it.
+PIECE = 64
 REJECT = 0.3
 _RUNS = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7f]+|[^A-Za-z0-9]")
 _KINDS = re.compile(r"[A-Z]|[a-z]|[0-9]|[^\x00-\x7f]")
 
 
 class _Words(dict):
-    """Of a word: a hash of it lower-cased and one of its shape. Emptied when full."""
+    """Of a word: a hash of it lower-cased and one of the shape of its first PIECE characters. Emptied when full."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        runs = [r if not _KINDS.match(r) else "A" if r[0].isupper() else "0" if r[0].isdigit() else "a" for r in _RUNS.findall(word[:64])]
+        runs = [r if not _KINDS.match(r) else "A" if r[0].isupper() else "0" if r[0].isdigit() else "a" for r in _RUNS.findall(word[:PIECE])]
         shape = "".join(r for i, r in enumerate(runs) if i == 0 or r != runs[i - 1])
         if len(self) > 200_000:
             self.clear()
@@ -49,7 +51,7 @@ def features(text: str) -> np.ndarray:
     """Indicators of a text, as sorted numbers below DIMS; 0 is in every text.
 
     They are n-grams: words and pairs of words, lower-cased; shapes (runs of capitals, small letters,
-    digits and each sign) of one, two and three words; and whether a word repeats the one before, or the
+    digits and each sign) of one, two and three words, a word longer than PIECE counting as its pieces; and whether a word repeats the one before, or the
     one two places before, alone and in pairs.
     """
     words = text.split()
@@ -57,12 +59,18 @@ def features(text: str) -> np.ndarray:
         return np.zeros(1, np.uint32)
     pairs = np.fromiter(map(_WORDS.__getitem__, words), np.dtype((np.uint64, 2)), len(words))
     w, s = pairs[:, 0], pairs[:, 1]
+    if max(map(len, words)) > PIECE:
+        s = np.fromiter((_WORDS[x[a : a + PIECE]][1] for x in words for a in range(0, len(x), PIECE)), np.uint64)
     out = [np.zeros(1, np.uint64), _mix(w, tag=1), _mix(s, tag=3)]
     if len(w) > 1:
         same = (w[1:] == w[:-1]).astype(np.uint64)
-        out += [_mix(w[:-1], w[1:], tag=2), _mix(s[:-1], s[1:], tag=4), _mix(same, tag=6)]
+        out += [_mix(w[:-1], w[1:], tag=2), _mix(same, tag=6)]
     if len(w) > 2:
-        out += [_mix(s[:-2], s[1:-1], s[2:], tag=5), _mix(same[:-1], same[1:], tag=7)]
+        out += [_mix(same[:-1], same[1:], tag=7)]
+    if len(s) > 1:
+        out += [_mix(s[:-1], s[1:], tag=4)]
+    if len(s) > 2:
+        out += [_mix(s[:-2], s[1:-1], s[2:], tag=5)]
     return np.unique(np.concatenate(out)).astype(np.uint32)
 
 

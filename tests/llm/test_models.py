@@ -74,6 +74,11 @@ def test_quality(spark):
     assert kept.columns == docs.columns and 0.5 < kept.count() / docs.count() < 1
 
 
+def test_quality_shapes_are_of_whole_words():
+    small, signs = (set(quality.features("A" * 64 + x).tolist()) for x in ("b" * 64, "#!" * 32))
+    assert len(small - signs) > 1 and len(signs - small) > 1  # more than the hash of the word
+
+
 def test_quality_reads_no_held_out_label(spark):
     docs = spark.createDataFrame([(i, "good words here" if i % 2 else "!!! ### $$$", i % 2) for i in range(200)], "doc_id bigint, text string, y int")
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
