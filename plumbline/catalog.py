@@ -16,11 +16,11 @@ from plumbline.applicability import check_applicability
 from plumbline.checks import Check, CheckLevel
 from plumbline.constraints import ConstrainableType
 from plumbline.functions import patterns
-from plumbline.model import ResultKey
+from plumbline.model import Entity, Metric, Outcome, ResultKey
 from plumbline.operators import grouping as G
 from plumbline.operators import scan as S
 from plumbline.operators.states import InMemoryStateProvider
-from plumbline.plans.runner import grouping_metrics, merged_states, metric_frame, run_analysis, run_on_aggregated_states, scan_metrics, state_frame
+from plumbline.plans.runner import AnalyzerContext, grouping_metrics, merged_states, metric_frame, run_analysis, run_on_aggregated_states, scan_metrics, state_frame
 from plumbline.sources.repository import InMemoryMetricsRepository, history_filter
 from plumbline.verification import VerificationSuite, evaluate
 
@@ -366,12 +366,12 @@ _anomaly("anomaly_online_normal_rollback", "Mean", OnlineNormal(lower_factor=1.5
 
 
 def _anomaly_check(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of earlier days in a repository, then a day's data with an anomaly check."""
-    repository, events = InMemoryMetricsRepository(), _table("events")(spark, d).withColumn("day", F.to_date("ts"))
-    days = [r[0] for r in events.select("day").distinct().orderBy("day").limit(6).collect()]
-    for i, day in enumerate(days[:-1]):
-        run_analysis(events.filter(F.col("day") == day), [S.Size()], repository=repository, save_key=ResultKey(i))
-    result = VerificationSuite().on_data(events).use_repository(repository).add_anomaly_check(RelativeRateOfChange(max_rate_increase=2.0), S.Size()).run()
+    """Sizes of every day but the last in a repository, then the whole table with an anomaly check."""
+    repository, size = InMemoryMetricsRepository(), S.Size()
+    days = daily(spark, d).filter("name = 'Size' AND dataset_date IS NOT NULL").orderBy("dataset_date").collect()
+    for r in days[:-1]:
+        repository.save(ResultKey(r["dataset_date"]), AnalyzerContext({size: Metric(Entity.DATASET, "Size", "*", Outcome(r["value"]))}))
+    result = VerificationSuite().on_data(_table("events")(spark, d)).use_repository(repository).add_anomaly_check(RelativeRateOfChange(max_rate_increase=2.0), S.Size()).run()
     return result.check_results_as_dataframe(spark).select("check_level", "check_status", "constraint_status")
 
 

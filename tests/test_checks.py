@@ -133,6 +133,15 @@ def test_anomaly_checks(spark):
     assert run(7.0, with_tag_values={"t": "x"}) is CheckStatus.SUCCESS
 
 
+def test_anomaly_check_query_keeps_every_day(spark, tmp_path):
+    from plumbline import catalog
+
+    rows = [(f"2024-01-0{day} 0{hour % 10}:00:00", 1.0) for day, n in enumerate([1] * 7 + [9, 1], 1) for hour in range(n)]
+    spark.createDataFrame(rows, "ts string, value double").selectExpr("cast(ts AS timestamp) AS ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    # 17 rows after a day of 9 are no more than twice as many; after the fifth day, of 1, they are.
+    assert [r["constraint_status"] for r in catalog.QUERIES["anomaly_check"](spark, str(tmp_path)).collect()] == ["Success"]
+
+
 def test_aggregated_suite_applicability_and_debug(spark, capsys):
     from plumbline.operators.states import InMemoryStateProvider
 
