@@ -133,10 +133,15 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     )
 
 
+def mix_order(mix_hash: Column, number: Column, seed: int = 17) -> Column:
+    """The place of a document's pass in its shard's shuffle."""
+    return F.xxhash64(F.lit(seed + 2), mix_hash, number)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, weights: int = 3, seed: int = 17) -> DataFrame:
     """The mixed documents: each row of docs as often as it is drawn, with its shard and mix_order.
 
-    A shard's rows are shuffled by sorting on mix_order within its partitions (see write_mix). The one
+    A shard's rows are shuffled by sorting on mix_order within its partitions (see shuffled). The one
     document at a source's boundary has its text cut after its last drawn word. See plan_mix for the rest.
     """
     plan = plan_mix(docs, id_col, text_col, source_col, shards, weights, seed)
@@ -145,18 +150,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     prefix = F.array_join(F.slice(words, F.lit(1), F.col("cut").cast("int")), "")
     text = F.when(partial, prefix).otherwise(F.col(text_col))
-    order = F.xxhash64(F.lit(seed + 2), F.col("mix_hash"), F.col("_d.pass"))
+    order = mix_order(F.col("mix_hash"), F.col("_d.pass"), seed)
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in {"shard", "mix_order"}], F.col("_d.shard").alias("shard"), order.alias("mix_order"))
 
 
+def shuffled(mixed: DataFrame, pieces: int = 8) -> DataFrame:
+    """The rows of a mix, each shard's dealt into pieces by hash and shuffled within each."""
+    return mixed.repartition(F.col("shard"), F.pmod("mix_order", F.lit(pieces))).sortWithinPartitions("shard", "mix_order")
+
+
 def write_mix(mixed: DataFrame, path: str, pieces: int = 8) -> None:
-    """Write a mix in a folder for each shard, its rows dealt into pieces by hash and shuffled within each."""
-    dealt = mixed.repartition(F.col("shard"), F.pmod("mix_order", F.lit(pieces))).sortWithinPartitions("shard", "mix_order")
-    dealt.write.partitionBy("shard").parquet(path)
+    """Write a mix in a folder for each shard, its rows shuffled (see shuffled)."""
+    shuffled(mixed, pieces).write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from plumbline.llm.common import table
 
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"), F.transform("draws", lambda d: mix_order(F.col("mix_hash"), d["pass"])).alias("mix_orders"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import data
+import pyarrow.parquet as pq
 
 from plumbline.llm import exact_dedup, mixing, sharding
 
@@ -117,6 +118,34 @@ def test_mix(spark):
     assert mixing.plan_mix(data.empty(spark)).count() == 0
 
 
+def test_mix_is_shuffled_within_shards(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"w{i} a b c", "ab"[i % 2]) for i in range(300)], "doc_id bigint, text string, source string")
+    mixed = mixing.mix(df)
+    want = sorted((r["shard"], r["mix_order"], r["doc_id"]) for r in mixed.collect())
+    mixing.write_mix(mixed, str(tmp_path / "mix"), 1)
+    written = []
+    for folder in sorted((tmp_path / "mix").glob("shard=*"), key=lambda f: int(f.name[6:])):
+        for file in sorted(folder.glob("*.parquet")):
+            written += [(int(folder.name[6:]), r["mix_order"], r["doc_id"]) for r in pq.ParquetFile(file).read(["mix_order", "doc_id"]).to_pylist()]
+    assert written == want
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = mixing.query(spark, str(tmp_path)).collect()
+    assert sorted((s, o, r["doc_id"]) for r in rows for s, o in zip(r["shards"], r["mix_orders"], strict=True)) == want
+
+
+def test_stage_writes_shards_in_their_order(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, f"w{i} a b c", "ab"[i % 2]) for i in range(300)], "doc_id bigint, text string, source string")
+    order = {}
+    for r in mixing.mix(df).collect():
+        order.setdefault(r["doc_id"], set()).add((r["shard"], r["mix_order"]))
+    for part in corpus_pipeline.mix_sources(spark, df, "").select("doc_id").rdd.glom().collect():
+        at = (-1, 0)
+        for r in part:
+            at = min(x for x in order[r["doc_id"]] if x > at)  # none is left where a row is out of order
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {0: 40, 1: 7, 2: 100, 3: 1}
     df = spark.createDataFrame(list(quotas.items()), "rank int, quota bigint")
