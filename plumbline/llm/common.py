@@ -101,7 +101,14 @@ def id_fold(id_col: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(parts)).cast("int")
 
 
-def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """Rows and bytes of text of a table, for sizing partitions."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("b")).first()
-    return int(row["n"]), int(row["b"] or 0)
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as the planner knows them, for sizing partitions: no data is read.
+
+    Sources that do not know their size count as 8 MB a partition.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        total += size if size < 1 << 60 else df.rdd.getNumPartitions() << 23
+    return total

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_fold, materialise, text_bytes, text_or_empty
+from plumbline.llm.common import id_fold, input_bytes, materialise, text_or_empty
 
 #: Text of a block of documents, whose words are looked up together, and of a bucket of the counts.
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
@@ -114,7 +114,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equally likely.
     """
     spark = docs.sparkSession
-    _, size = text_bytes(docs, text_col)
+    size = input_bytes(docs)
     blocks = max(1, -(-size // BLOCK_BYTES))
     buckets = 1 << max(3, (size // BUCKET_BYTES).bit_length())
     shift = 64 - (buckets.bit_length() - 1)

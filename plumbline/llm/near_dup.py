@@ -8,26 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import caches
-from plumbline.llm.common import materialise, text_bytes, text_or_empty
-from plumbline.llm.graph import components, smallest
+from plumbline.llm.common import input_bytes, materialise, ship_package, text_or_empty
+from plumbline.llm.graph import components
 
-BUCKET_BYTES = 8 << 20  # text whose keys meet in a bucket
 WINDOW_BYTES = 16 << 20  # text that a task contracts at once
-SAMPLE = 4000  # documents, at most, in which frequent shingles are looked for
+KEY_BYTES = 8 << 20  # text whose keys meet in a task
+CHUNK_BYTES = 4 << 20  # sets that are tested together
+BLOCK_NODES = 2048  # nodes of a block that are compared in one task; a larger one is compared by pairs of its parts
+SAMPLE, SAMPLE_CHARS = 4000, 1 << 14  # documents, about, and their length, at most, in which frequent shingles are looked for
 FREQUENT = 8  # documents of the sample that make a shingle frequent
 LEAF, FANOUT = 16, 4
-FILTER_BITS = 1 << 22
-TOGETHER = 20_000  # documents whose sets a task may hold
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets have in common."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small):
+        return 0
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets have a Jaccard similarity of percent or more; empty ones never do."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < percent * len(large):
+    low, high = sorted((len(a), len(b)))
+    if not low or 100 * low < percent * high:
         return False
-    at = np.searchsorted(large, small)
-    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    both = overlap(a, b)
+    return 100 * both >= percent * (low + high - both)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> float:
+    """One less the Jaccard similarity, which obeys the triangle inequality."""
+    both = overlap(a, b)
+    return 1 - both / (len(a) + len(b) - both)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -48,7 +62,7 @@ def width_of(n: int) -> int:
 
 
 def signature(s: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap of the set's shingles, by their low bits, in words of 64 bits; halves fold onto each other."""
+    """A bitmap of the set's shingles, by the low bits of the 48 that travel, in words of 64 bits; halves fold onto each other."""
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view("<u8")
@@ -83,44 +97,112 @@ class Nodes:
         ok = (100 * self.high[i] >= percent * self.low[j]) & (100 * self.high[j] >= percent * self.low[i])
         ok &= (100 + percent) * high >= percent * low
         at = np.flatnonzero(ok)
-        for a in range(0, len(at), 1 << 16):
-            k = at[a : a + (1 << 16)]
+        step = max(1, (1 << 18) // self.some.shape[1])
+        for a in range(0, len(at), step):
+            k = at[a : a + step]
             x, y = i[k], j[k]
             alone_x = np.bitwise_count(self.every[x] & ~self.some[y]).sum(axis=1, dtype=np.int64)
             alone_y = np.bitwise_count(self.every[y] & ~self.some[x]).sum(axis=1, dtype=np.int64)
-            overlap = np.minimum(self.high[x] - alone_x, self.high[y] - alone_y)
-            ok[k] = (100 + percent) * overlap >= percent * low[k]
+            most = np.minimum(self.high[x] - alone_x, self.high[y] - alone_y)
+            ok[k] = (100 + percent) * most >= percent * low[k]
         return ok
 
 
-def tree_pairs(rows: Nodes, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of rows that may be linked, by dual traversal of a signature tree over the rows by size."""
+def tree_pairs(rows: Nodes, percent: int, apart=None):
+    """Pairs i < j of rows that may be linked, in pieces, by dual traversal of a signature tree over the rows by size.
+
+    The traversal goes depth first and takes few pairs of nodes at a time, so what it holds does not grow
+    with the number of pairs. apart(i, j) tells, at the time of asking, which pairs of rows are wanted.
+    """
     n = len(rows.low)
     order = np.lexsort((rows.some[:, 0], rows.high))
     levels = [rows.take(order)]
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].parents(LEAF if len(levels) == 1 else FANOUT))
-    i = j = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
-        level = levels[depth]
-        keep = level.may_link(i, j, percent) | ((i == j) & (depth > 0))
-        i, j = i[keep], j[keep]
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if n > 1 else []
+    while stack:
+        depth, i, j = stack.pop()
         if not depth:
-            break
+            a, b = order[i], order[j]
+            keep = np.ones(len(a), bool) if apart is None else apart(a, b)
+            keep[keep] = levels[0].may_link(i[keep], j[keep], percent)
+            if keep.any():
+                yield np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
+            continue
+        keep = levels[depth].may_link(i, j, percent) | (i == j)
+        i, j = i[keep], j[keep]
         fan, below = (LEAF if depth == 1 else FANOUT), len(levels[depth - 1].low)
         a, b = np.divmod(np.arange(fan * fan), fan)
-        i, j = (i[:, None] * fan + a).ravel(), (j[:, None] * fan + b).ravel()
-        good = (i < below) & (j < below) & ((i < j) if depth == 1 else (i <= j))
-        i, j = i[good], j[good]
-    i, j = order[i], order[j]
-    return (np.minimum(i, j), np.maximum(i, j)) if n > 1 else (i[:0], j[:0])
+        step = 256 if depth == 1 else 1024
+        for k in range((len(i) - 1) // step * step, -1, -step):  # the first is taken from the stack first
+            x, y = (i[k : k + step, None] * fan + a).ravel(), (j[k : k + step, None] * fan + b).ravel()
+            good = (x < below) & (y < below) & ((x < y) if depth == 1 else (x <= y))
+            stack.append((depth - 1, x[good], y[good]))
+
+
+class Groups:
+    """Numbers below n in groups, each known by its smallest."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def tops(self) -> np.ndarray:
+        return np.array([self.top(x) for x in range(len(self.root))], np.int64)
 
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+        return x != y
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, rows: int) -> np.ndarray:
-    """Shingles of FREQUENT or more of SAMPLE documents: an order of shingles, which no result depends on."""
+
+def by_width(low: np.ndarray, high: np.ndarray, width: np.ndarray, percent: int):
+    """Each width of signatures with the rows that it has, and the wider ones whose sets are small enough to be linked with one of its own."""
+    for w in np.unique(width):
+        own = np.flatnonzero((width == w) | ((width > w) & (percent * low <= 100 * high[width == w].max())))
+        yield int(w), own
+
+
+def connect(sets: list[np.ndarray], groups: Groups, percent: int) -> list[tuple[int, int]]:
+    """Joins the groups of linked sets; returns links that did so. Pairs already in one group need no test."""
+    n = np.array([len(s) for s in sets], np.int64)
+    width = np.array([width_of(k) for k in n])
+    signs = [signature(s, w) for s, w in zip(sets, width, strict=True)]
+    out = []
+    for w, own in by_width(n, n, width, percent):
+        if len(own) < 2:
+            continue
+        bits, wide = np.stack([fold(signs[k], w) for k in own]), width[own] > w
+        tops = groups.tops()
+
+        def apart(i, j, own=own, wide=wide):
+            return (tops[own[i]] != tops[own[j]]) & ~(wide[i] & wide[j])
+
+        for i, j in tree_pairs(Nodes(n[own], n[own], bits, bits), percent, apart):
+            joined = False
+            for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True):
+                if groups.top(x) != groups.top(y) and linked(sets[x], sets[y], percent):
+                    groups.join(x, y)
+                    out.append((x, y))
+                    joined = True
+            if joined:
+                tops = groups.tops()
+    return out
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles of FREQUENT or more of about SAMPLE documents: an order of shingles, which no result depends on."""
     from plumbline.llm.words import shingles
 
-    some = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(max(1, rows // SAMPLE))) == 0).select(text_or_empty(F.col(text_col)).alias("t")).limit(2 * SAMPLE)
+    text = text_or_empty(F.col(text_col))
+    some = docs.filter((F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0) & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("t")).limit(2 * SAMPLE)
 
     def count(t: pa.Table) -> pa.Table:
         found = [shingles(x.as_py()) for x in t.column("t")]
@@ -131,411 +213,336 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, rows: int) ->
     return np.frombuffer(row[0], np.uint64) if row else np.zeros(0, np.uint64)
 
 
+_NODES = pa.schema([
+    ("kind", pa.int8()), ("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("radius", pa.float64()), ("set", pa.binary()),
+    ("low", pa.int64()), ("high", pa.int64()), ("some", pa.binary()), ("every", pa.binary()), ("tokens", pa.list_(pa.int64())),
+])
+_NODES_SQL = "kind tinyint, node bigint, id bigint, n bigint, lead boolean, radius double, set binary, low bigint, high bigint, some binary, every binary, tokens array<bigint>"
+
+
 class _Window:
-    """Documents of a task, contracted: exact and near copies within the window follow a leader, to which each is linked."""
+    """Documents of a task, contracted to nodes: each is linked to an earlier one of its node, or leads it."""
 
     def __init__(self, percent: int):
-        self.percent, self.ids, self.sizes, self.leaders, self.held = percent, [], [], [], 0
-        self.sets: list[np.ndarray] = []  # of leaders
-        self.names: list[int] = []
-        self.members: list[list[np.ndarray]] = []
+        self.percent, self.held = percent, 0
+        self.docs: list[tuple[int | None, int, int]] = []  # id, size, place among the sets
+        self.sets: list[np.ndarray] = []
+        self.node: list[int] = []  # of each set
+        self.members: list[list[int]] = []
+        self.radius: list[float] = []  # the largest distance of a member to its node's first
         self.same: dict[bytes, int] = {}
-        self.first: dict[int, list[int]] = {}
+        self.met: dict[tuple[int, int], int] = {}
+
+    def add(self, doc_id: int | None, s: np.ndarray, size: int) -> None:
+        from xxhash import xxh3_128_digest
 
-    def add(self, doc_id: int, s: np.ndarray, size: int) -> None:
-        self.ids.append(doc_id)
-        self.sizes.append(len(s))
         self.held += size
-        leader = None
-        if len(s):
-            key = s.tobytes()
-            leader = self.same.get(key)
-            if leader is None:
-                near = self.first.setdefault(int(s[0]), [])
-                # Leaders tried here only save work: a near copy that is not found now is found later.
-                leader = next((k for k in near[-4:] if linked(self.sets[k], s, self.percent)), None)
-                if leader is None:
-                    leader = len(self.sets)
-                    self.sets.append(s)
-                    self.members.append([])
-                    self.names.append(doc_id)
-                    near.append(leader)
-                self.members[leader].append(s)
-                self.same[key] = leader
-        self.leaders.append(leader)
-
-
-_KEYS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
-_FOUND = "kind tinyint, bucket int, id bigint, a bigint, b bigint, s binary, t binary"
-
-
-def _rows(columns, types, names) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-
-def _flush(w: _Window, frequent: np.ndarray, buckets: int, number: int) -> pa.RecordBatch:
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-    out = []
-    leader_ids = [i if k is None else w.names[k] for i, k in zip(w.ids, w.leaders, strict=True)]
-    as_bytes = lambda x: np.array(x, "<i8").tobytes()
-    out.append((number % buckets, 0, as_bytes(w.ids), as_bytes(w.sizes), as_bytes(leader_ids)))
-    keys, owners = [], []
-    for k, members in enumerate(w.members):
-        p = [prefix(s, frequent, w.percent) for s in members]
-        p = np.unique(np.concatenate(p)) if len(p) > 1 else p[0]
-        keys.append(p)
-        owners.append(np.full(len(p), w.names[k], np.int64))
-        sizes = [len(s) for s in members]
-        # Of the bits that verify_groups has too: its sets are the upper 48 bits.
-        signs = np.stack([signature(s >> np.uint64(16), width_of(max(sizes))) for s in members])
-        some, every = np.bitwise_or.reduce(signs), np.bitwise_and.reduce(signs)
-        out.append((number % buckets, 2, as_bytes([w.names[k], min(sizes), max(sizes)]), some.tobytes(), None if len(signs) == 1 else every.tobytes()))
-    if keys:
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        ends = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << shift)
-        for b, (a, z) in enumerate(zip([0, *ends], [*ends, len(keys)], strict=True)):
-            if z > a:
-                six = np.ascontiguousarray(keys[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                out.append((b, 1, six.tobytes(), owners[a:z].astype("<i8").tobytes(), None))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _KEYS, strict=True)], schema=_KEYS)
-
-
-def _meet(t: pa.Table) -> pa.Table:
-    """In a bucket: shingles that two leaders or more have in their prefixes; documents and nodes go through."""
-    kinds = t.column("kind").to_pylist()
-    cols = {c: t.column(c).to_pylist() for c in "xyz"}
-    bucket = t.column("bucket")[0].as_py()
-    parts: list[list] = [[], [], [], [], [], []]
-
-    def add(kind, ids, a, b, s, z):
-        n = len(ids)
-        for p, v in zip(parts, (np.full(n, kind, np.int8), ids, a, b, s, z), strict=True):
-            p.append(v)
-
-    keys, owners = [], []
-    for i, kind in enumerate(kinds):
-        if kind == 0:
-            ids, sizes, leaders = (np.frombuffer(cols[c][i], "<i8") for c in "xyz")
-            add(0, ids, sizes, leaders, [None] * len(ids), [None] * len(ids))
-        elif kind == 2:
-            x = np.frombuffer(cols["x"][i], "<i8")
-            add(2, x[:1], x[1:2], x[2:3], [cols["y"][i]], [cols["z"][i]])
-        else:
-            raw = np.zeros((len(cols["x"][i]) // 6, 8), np.uint8)
-            raw[:, :6] = np.frombuffer(cols["x"][i], np.uint8).reshape(-1, 6)
-            keys.append(raw.view("<u8").ravel().astype(np.int64))
-            owners.append(np.frombuffer(cols["y"][i], "<i8"))
-    if keys:
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-        keys, owners = keys[new], owners[new]
-        _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = n[at] > 1
-        add(1, owners[shared], keys[shared], np.zeros(shared.sum(), np.int64), [None] * int(shared.sum()), [None] * int(shared.sum()))
-    join = lambda p: np.concatenate(p) if p else np.zeros(0, np.int64)
-    kind, ids, a, b = (join(p) for p in parts[:4])
-    return pa.table({
-        "kind": pa.array(kind.astype(np.int8)), "bucket": pa.array(np.full(len(kind), bucket, np.int32)), "id": pa.array(ids.astype(np.int64)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)),
-        "s": pa.array([v for p in parts[4] for v in p], pa.binary()), "t": pa.array([v for p in parts[5] for v in p], pa.binary()),
-    })
-
-
-def block_pairs(token: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray, some: list[bytes], every: list[bytes | None], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of owners that share a token and may be linked."""
-    keep: list[np.ndarray] = []
-    names, at = np.unique(owner, return_inverse=True)
-    width = np.array([len(x) * 8 for x in some])
-    # Each width meets itself and the wider ones whose sets are small enough to be linked with one of its own.
-    for w in np.unique(width):
-        own = np.flatnonzero((width == w) | ((width > w) & (percent * low <= 100 * high[width == w].max())))
-        load = lambda x: fold(np.frombuffer(x, "<u8"), w)
-        nodes = Nodes(low[own], high[own], np.stack([load(some[i]) for i in own]), np.stack([fold(np.frombuffer(every[i], "<u8"), w) if every[i] is not None else load(some[i]) for i in own]))
-        order = np.argsort(token[own], kind="stable")
-        sorted_tokens = token[own][order]
-        starts = np.flatnonzero(np.r_[True, sorted_tokens[1:] != sorted_tokens[:-1]])
-        sizes = np.diff(np.r_[starts, len(order)])
-        found_i, found_j = [], []
-        for size in range(2, LEAF + 1):
-            s = starts[sizes == size]
-            if len(s):
-                a, b = np.triu_indices(size, 1)
-                found_i.append(order[(s[:, None] + a).ravel()])
-                found_j.append(order[(s[:, None] + b).ravel()])
-        if found_i:
-            i, j = np.concatenate(found_i), np.concatenate(found_j)
-            ok = nodes.may_link(i, j, percent)
-            found_i, found_j = [i[ok]], [j[ok]]
-        for s, size in zip(starts[sizes > LEAF], sizes[sizes > LEAF], strict=True):
-            block = order[s : s + size]
-            i, j = tree_pairs(nodes.take(block), percent)
-            found_i.append(block[i])
-            found_j.append(block[j])
-        if found_i:
-            i, j = at[own[np.concatenate(found_i)]], at[own[np.concatenate(found_j)]]
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            keep.append(np.unique(i[i != j].astype(np.int64) * len(names) + j[i != j]))
-    pairs = np.unique(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
-    return names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]
-
-
-def _wanted_sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (id, s) of the documents in pairs, and of few others: s has the upper 48 bits of the set's hashes.
-
-    A bitmap of FILTER_BITS over the ids, which has that size whatever the number of pairs, keeps most other
-    documents out.
+        at = -1
+        if len(s) and doc_id is not None:
+            key = xxh3_128_digest(s.tobytes())
+            at = self.same.get(key, -1)
+            if at < 0:
+                at = self.same[key] = len(self.sets)
+                self.sets.append(s)
+                # Linked sets mostly agree in the first shingle of some quarter of all hashes. What is not found now is found later.
+                places = np.searchsorted(s, _QUARTERS)
+                keys = [(q, int(s[min(p, len(s) - 1)])) for q, p in enumerate(places)]
+                tried = dict.fromkeys(self.met[k] for k in keys if k in self.met)
+                near = next((k for k in tried if linked(self.sets[k], s, self.percent)), None)
+                if near is None:
+                    self.node.append(len(self.members))
+                    self.members.append([at])
+                    self.radius.append(0.0)
+                else:
+                    node = self.node[near]
+                    self.node.append(node)
+                    self.radius[node] = max(self.radius[node], distance(self.sets[self.members[node][0]], s))
+                    self.members[node].append(at)
+                self.met.update((k, at) for k in keys)
+        self.docs.append((doc_id, len(s), at))
+
+    def flush(self, frequent: np.ndarray, first: int) -> pa.RecordBatch:
+        """The window's rows; nodes are numbered from first."""
+        from plumbline.llm.words import pack48
+
+        cols: list[list] = [[] for _ in _NODES]
+
+        def row(**values) -> None:
+            for c, f in zip(cols, _NODES, strict=True):
+                c.append(values.get(f.name))
+
+        written: set[int] = set()
+        for doc_id, n, at in self.docs:
+            if at < 0:
+                row(kind=0, id=doc_id, n=n)
+            else:
+                node, new = self.node[at], at not in written
+                lead = new and self.members[node][0] == at
+                row(kind=0, node=first + node, id=doc_id, n=n, lead=lead, radius=self.radius[node] if lead else None, set=pack48(self.sets[at]) if new else None)
+                written.add(at)
+        for k, members in enumerate(self.members):
+            tokens = [prefix(self.sets[m], frequent, self.percent) for m in members]
+            tokens = np.unique(np.concatenate(tokens)) if len(tokens) > 1 else tokens[0]
+            sizes = [len(self.sets[m]) for m in members]
+            signs = np.stack([signature(self.sets[m] >> np.uint64(16), width_of(max(sizes))) for m in members])
+            some = np.bitwise_or.reduce(signs)
+            every = np.bitwise_and.reduce(signs).tobytes() if len(members) > 1 else None
+            row(kind=1, node=first + k, low=min(sizes), high=max(sizes), some=some.tobytes(), every=every, tokens=tokens.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES, strict=True)], schema=_NODES)
+
+
+_QUARTERS = np.array([0, 1 << 62, 1 << 63, 3 << 62], np.uint64)
+
+
+def _meet(batches):
+    """Of a task's (token, node): a block for each list of two nodes or more that have a token in common.
+
+    A block is known by a hash of its nodes, so that the tokens of one shared passage are one block.
+    Should two lists have the same hash they are one block, which costs work and loses nothing.
     """
-    from plumbline.llm.words import pack48, shingles
-
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("i"))
+    from plumbline.llm.words import mixed
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    token, node = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+    del held
+    order = np.argsort(token, kind="stable")
+    token, node = token[order], node[order]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[starts, len(token)])
+    hashes = np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
+    many = np.flatnonzero(sizes > 1)
+    _, once = np.unique(hashes[many], return_index=True)
+    many = many[once]
+    rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[many].tolist(), sizes[many].tolist(), strict=True)]) if len(many) else many
+    block, size = np.repeat(hashes[many], sizes[many]), np.repeat(sizes[many], sizes[many])
+    for a in range(0, len(rows), 1 << 16):
+        z = a + (1 << 16)
+        yield pa.RecordBatch.from_arrays([pa.array(block[a:z]), pa.array(node[rows[a:z]]), pa.array(size[a:z])], names=["block", "node", "size"])
+
+
+def _forest(percent: int):
+    """Of a task's blocks: links that connect the nodes of each block of which some sets may be linked."""
 
-    def bits(batches):
-        bitmap = np.zeros(FILTER_BITS, np.uint8)
-        for batch in batches:
-            bitmap[_slot(batch.column(0).to_numpy())] = 1
-        yield _rows([[np.packbits(bitmap).tobytes()]], [pa.binary()], ["b"])
+    def forest(t: pa.Table) -> pa.Table:
+        block = np.unique(np.stack([t.column(c).to_numpy() for c in ("block", "lo", "hi")]), axis=1, return_inverse=True)[1].ravel()
+        names, at = np.unique(t.column("node").to_numpy(), return_inverse=True)
+        low, high, some, every = (t.column(c) for c in ("low", "high", "some", "every"))
+        low, high = low.to_numpy(), high.to_numpy()
+        some = [np.frombuffer(x.as_buffer(), "<u8") for x in some]
+        every = [np.frombuffer(x.as_buffer(), "<u8") if x.is_valid else s for x, s in zip(every, some, strict=True)]
+        width = np.array([len(x) * 64 for x in some])
+        groups, out = Groups(len(names)), []
+
+        def join(i, j) -> None:
+            for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True):
+                if groups.join(x, y):
+                    out.append((x, y))
+
+        for w, own in by_width(low, high, width, percent):
+            nodes = Nodes(low[own], high[own], np.stack([fold(some[k], w) for k in own]), np.stack([fold(every[k], w) for k in own]))
+            order = np.argsort(block[own], kind="stable")
+            own_block = block[own][order]
+            starts = np.flatnonzero(np.r_[True, own_block[1:] != own_block[:-1]])
+            sizes = np.diff(np.r_[starts, len(order)])
+            for size in range(2, LEAF + 1):  # blocks of one leaf, all of a size at once
+                s = starts[sizes == size]
+                a, b = np.triu_indices(size, 1)
+                for k in range(0, len(s), 1024):
+                    i, j = order[(s[k : k + 1024, None] + a).ravel()], order[(s[k : k + 1024, None] + b).ravel()]
+                    ok = nodes.may_link(i, j, percent)
+                    join(own[i[ok]], own[j[ok]])
+            for s, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+                inside = order[s : s + size]
+                tops = groups.tops()
 
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.coalesce(8).mapInArrow(bits, "b binary").toLocalIterator():
-        bitmap |= np.frombuffer(row[0], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap).astype(bool))
+                def apart(i, j, inside=inside, own=own):
+                    return tops[at[own[inside[i]]]] != tops[at[own[inside[j]]]]
 
-    def sets(batches):
-        caches.only("words")
-        for batch in batches:
-            wanted = np.flatnonzero(shared.value[_slot(batch.column(0).to_numpy(zero_copy_only=False))]) if batch.num_rows else []
-            text = batch.column(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(wanted, pa.int64())), pa.array([pack48(shingles(text[int(k)].as_py())) for k in wanted], pa.binary())], names=["id", "s"])
+                for i, j in tree_pairs(nodes.take(inside), percent, apart):
+                    join(own[inside[i]], own[inside[j]])
+                    tops = groups.tops()
+        return pa.table({"u": pa.array([names[x] for x, _ in out], pa.int64()), "v": pa.array([names[y] for _, y in out], pa.int64())})
 
-    return docs.filter("id IS NOT NULL").mapInArrow(sets, "id bigint, s binary")
+    return forest
 
 
-def verify_groups(groups: DataFrame, wide: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v, ok) within groups (node, component) of at most TOGETHER ids.
+def _by_part(t: pa.Table, keys: list[str]):
+    """The rows of each combination of keys."""
+    part = np.unique(np.stack([t.column(c).to_numpy() for c in keys]), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return [x for x in np.split(order, cuts) if len(x)]
 
-    ok: links that connect all whose whole sets are linked. Not ok: pairs whose followers may be linked though no
-    link here connects them. wide has a node (leader, low, high, s, t) for each leader and its followers, where
-    their sets differ. A document's set travels once, to the task of its component, where a signature tree
-    finds the pairs and those already connected need no test. Leaders are tested by their own sets; then
-    pairs of nodes of which one is wide are sought by the nodes. Distances, 1 less the similarity, obey the
-    triangle inequality, so followers of leaders that are further apart than three times the distance of a
-    link, or two where only one is wide, are not linked.
-    """
-    from plumbline.llm.words import unpack48
-
-    groups = materialise(groups.select("node", "component"), "near-groups")
-    total = groups.count()
-    if not total:
-        return docs.sparkSession.createDataFrame([], "u bigint, v bigint, ok boolean")
-    sets = _wanted_sets(groups.select(F.col("node").alias("u"), F.col("node").alias("v")), docs)
-    tasks = total // 2000 + 1
-    bucket = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int").alias("bucket")
-    dealt = sets.join(groups, sets["id"] == groups["node"]).select(bucket, "id", "component", "s").repartition(tasks, "bucket")
-    places = groups.select(F.col("node").alias("place"), F.col("component").alias("group"), bucket.alias("at"))
-    nodes = wide.join(places, wide["leader"] == places["place"]).select(F.col("at").alias("bucket"), "leader", "group", "low", "high", "s", "t").repartition(tasks, "bucket")
-
-    def test(mine: pa.Table, wide: pa.Table) -> pa.Table:
-        ids, group = mine.column("id").to_numpy(), mine.column("component").to_numpy()
-        own = [unpack48(x.as_buffer()) for x in mine.column("s")]
-        n = np.array([len(x) for x in own], np.int64)
-        signs = [signature(x, width_of(len(x))).tobytes() for x in own]
-        root = {k: k for k in ids.tolist()}
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        i, j = block_pairs(group, np.arange(len(ids)), n, n, signs, [None] * len(ids), percent) if len(ids) else (ids, ids)
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            u, v = int(ids[a]), int(ids[b])
-            x, y = top(u), top(v)
-            if x != y and linked(own[a], own[b], percent):
-                root[max(x, y)] = min(x, y)
-                out.append((u, v, True))
-        if wide.num_rows:
-            get = lambda c: wide.column(c).to_numpy()
-            rows = np.flatnonzero(np.isin(group, get("group")))
-            i, j = block_pairs(
-                np.r_[group[rows], get("group")], np.r_[ids[rows], get("leader")], np.r_[n[rows], get("low")], np.r_[n[rows], get("high")],
-                [signs[k] for k in rows] + wide.column("s").to_pylist(), [None] * len(rows) + wide.column("t").to_pylist(), percent,
-            )
-            names = np.unique(ids)
-            tops = np.array([top(x) for x in names.tolist()])
-            many = np.isin(i, get("leader")).astype(int) + np.isin(j, get("leader"))
-            open_pairs = np.flatnonzero((tops[np.searchsorted(names, i)] != tops[np.searchsorted(names, j)]) & (many > 0))
-            by_id: dict[int, list[np.ndarray]] = {}
-            for k in rows.tolist():
-                by_id.setdefault(int(ids[k]), []).append(own[k])
-            for u, v, k in zip(i[open_pairs].tolist(), j[open_pairs].tolist(), many[open_pairs].tolist(), strict=True):
-                least = 100 - (1 + k) * (100 - percent)
-                if any(linked(x, y, least) for x in by_id[u] for y in by_id[v]):
-                    out.append((u, v, False))
-        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64()), "ok": pa.array([x[2] for x in out], pa.bool_())})
-
-    return dealt.groupBy("bucket").cogroup(nodes.groupBy("bucket")).applyInArrow(test, "u bigint, v bigint, ok boolean")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links among pairs (u, v) of ids that connect all those whose whole sets are linked. docs has id and text.
-
-    Pairs fall into components, so a document's set travels to one task, once, and pairs that links found
-    before already connect need no test. A component of more than TOGETHER documents is not gathered: its
-    pairs are joined with their two sets and tested one by one.
-    """
-    from plumbline.llm.words import unpack48
-
-    found = components(pairs)
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(F.sum("size").alias("n"), F.max("size").alias("most")).first()
-    if not total["n"]:
-        return pairs.limit(0)
-    sets = _wanted_sets(pairs, docs)
-    large = None
-    if total["most"] > TOGETHER:
-        big = found.join(sizes.filter(F.col("size") > TOGETHER), "component", "left_semi").select(F.col("node").alias("u"))
-        large, pairs = materialise(pairs.join(big, "u", "left_semi"), "near-large"), pairs.join(big, "u", "left_anti")
-        found = found.join(big, found["node"] == big["u"], "left_anti")
-    tasks = total["n"] // 4000 + 1
-    bucket = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("int")
-    place = found.select("node", bucket.alias("bucket"))
-    dealt = sets.join(place, sets["id"] == place["node"]).select("bucket", "id", "s").repartition(tasks, "bucket")
-    asked = pairs.join(place, pairs["u"] == place["node"]).select(F.col("bucket").alias("bucket"), "u", "v").repartition(tasks, "bucket")
-
-    def test(own: pa.Table, wanted: pa.Table) -> pa.Table:
-        by_id: dict[int, list[np.ndarray]] = {}
-        for i, s in zip(own.column("id").to_pylist(), own.column("s"), strict=True):
-            by_id.setdefault(i, []).append(unpack48(s.as_buffer()))
-        root = {i: i for i in by_id}
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for u, v in sorted(zip(wanted.column("u").to_pylist(), wanted.column("v").to_pylist(), strict=True)):
-            a, b = top(u), top(v)
-            if a != b and any(linked(x, y, percent) for x in by_id[u] for y in by_id[v]):
-                root[max(a, b)] = min(a, b)
-                out.append((u, v))
-        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
-
-    links = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(test, "u bigint, v bigint")
-    if large is None:
-        return links
-
-    def each(batches):
-        for batch in batches:
-            ok = [linked(unpack48(a.as_buffer()), unpack48(b.as_buffer()), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    sets = _wanted_sets(large, docs)
-    both = large.join(sets.withColumnsRenamed({"id": "u", "s": "su"}), "u").join(sets.withColumnsRenamed({"id": "v", "s": "sv"}), "v")
-    return links.unionByName(both.select("u", "v", "su", "sv").mapInArrow(each, "u bigint, v bigint"))
+def _test_leaders(percent: int):
+    """Links between nodes whose leaders are linked (u, v), and nodes (u, null) that have sets to be tested yet.
 
+    A set of node u is at most u's radius from its leader. So u and v, when not connected, have sets to be
+    tested where one of them has followers and their leaders are no further apart than a link and both radii.
+    """
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return ((ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))).astype(np.int64)
+    def test(t: pa.Table) -> pa.Table:
+        from plumbline.llm.words import unpack48
+
+        node, radius, out = t.column("node").to_numpy(), t.column("radius").to_numpy(), []
+        sets = t.column("set")
+        for rows in _by_part(t, ["component", "part"]):
+            own = [unpack48(sets[int(k)].as_buffer()) for k in rows]
+            groups = Groups(len(own))
+            out += [(int(node[rows[x]]), int(node[rows[y]])) for x, y in connect(own, groups, percent)]
+            tops, r, n = groups.tops(), radius[rows], np.array([len(s) for s in own])
+            if (tops == tops[0]).all():
+                continue
+            for x in np.flatnonzero(r > 0).tolist():
+                far = 1 - percent / 100 + r[x] + r + 1e-9
+                others = np.flatnonzero((tops != tops[x]) & (np.minimum(n, n[x]) >= (1 - far) * np.maximum(n, n[x])))
+                found = [y for y in others.tolist() if distance(own[x], own[y]) <= far[y]]
+                out += [(int(node[rows[k]]), None) for k in ([x, *found] if found else [])]
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return test
+
+
+def _test_members(percent: int):
+    """Links between nodes some of whose sets are linked. Nodes of one label are connected and need no test."""
+
+    def test(t: pa.Table) -> pa.Table:
+        from plumbline.llm.words import unpack48
+
+        node, label, out = t.column("node").to_numpy(), t.column("label").to_numpy(), []
+        sets = t.column("set")
+        for rows in _by_part(t, ["component", "lo", "hi"]):
+            own = [unpack48(sets[int(k)].as_buffer()) for k in rows]
+            groups = Groups(len(own))
+            first: dict[int, int] = {}
+            for k, x in enumerate(label[rows].tolist()):
+                groups.join(k, first.setdefault(x, k))
+            if len(first) > 1:
+                out += [(int(node[rows[x]]), int(node[rows[y]])) for x, y in connect(own, groups, percent)]
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    return test
+
+
+def _in_parts(rows: DataFrame, test, schema: str, pairs: bool, label: str) -> tuple[DataFrame, DataFrame]:
+    """test's rows for rows (component, node, n, set, ..) in tasks of about CHUNK_BYTES, written; and the components that were cut.
+
+    A component with larger sets is cut into parts by a hash of the node: each is tested alone, or, for
+    pairs, with each other one.
+    """
+    sizes = rows.groupBy("component").agg(F.sum(6 * F.col("n") + 64).alias("bytes")).withColumn("parts", F.ceil(F.col("bytes") / CHUNK_BYTES))
+    sizes = materialise(sizes, f"{label}-sizes")
+    cut = sizes.filter("parts > 1")
+    total = sizes.agg(F.sum(F.col("bytes") * (F.col("parts") if pairs else F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    tasks = (total["bytes"] or 0) // CHUNK_BYTES + total["n"] // 1000 + 1
+    dealt = rows.join(sizes.drop("bytes"), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    keys = ["component", "part"]
+    if pairs:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+        keys = ["component", "lo", "hi"]
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int"))
+    found = dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(test, schema)
+    return materialise(found, label), cut.select("component")
+
+
+def verify(reach: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect the nodes of reach (node, component) which hold linked sets, and no others.
+
+    docs has rows (node, n, lead, radius, set). A node's first set travels to the task of its component,
+    or of a part of it; the parts of a large component meet by one node of each connected group. Where
+    not all are connected yet, nodes that may hold a linked set send all their sets.
+    """
+    links = None
+    leaders = materialise(docs.filter("lead").join(reach, "node").select("component", "node", "n", "radius", "set"), "near-leaders")
+    left, first_cut, opened = leaders, None, None
+    while True:
+        found, cut = _in_parts(left, _test_leaders(percent), "u bigint, v bigint", False, "near-tested")
+        opened = found.filter("v IS NULL").select(F.col("u").alias("node")) if opened is None else opened
+        found = found.filter("v IS NOT NULL")
+        links = found if links is None else materialise(links.unionByName(found), "near-links")
+        first_cut = cut if first_cut is None else first_cut
+        labels = components(links).withColumnRenamed("component", "label")
+        if not cut.limit(1).count():
+            break
+        before = left.join(cut, "component", "left_semi")
+        left = materialise(before.join(labels, "node", "left").filter("label IS NULL OR label = node").drop("label"), "near-left")
+        if 2 * left.count() > before.count():
+            break  # what is left is not connected, for the most part
+
+    labelled = materialise(reach.join(labels, "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")), "near-labels")
+    apart = labelled.groupBy("component").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("component")
+    whole = labelled.join(first_cut, "component", "left_semi").select("node")
+    open_nodes = labelled.join(apart, "component", "left_semi").join(opened.unionByName(whole).distinct(), "node", "left_semi")
+    open_nodes = materialise(open_nodes, "near-open")
+    if open_nodes.limit(1).count():
+        sets = materialise(docs.filter("set IS NOT NULL").join(open_nodes, "node").select("component", "node", "label", "n", "set"), "near-sets")
+        found, _ = _in_parts(sets, _test_members(percent), "u bigint, v bigint", True, "near-members")
+        links = links.unionByName(found)
+    return links
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles and component_id, the smallest id that links lead to.
 
     Two documents are linked when their sets of 5-word shingles have a Jaccard similarity of percent / 100
-    or more. Linked sets share a shingle of their prefixes, so only those travel: a task first lets exact
-    and near copies within its window follow one leader, so that a large group costs a row per window and
-    shingle. Where leaders share one, signature trees prune the pairs of nodes whose sets cannot overlap
-    enough, and the rest is verified on whole sets: first leader against leader, and, where those are not
-    connected, each of their members. No link is missed but by a collision of 64-bit hashes.
+    or more. A task first lets copies and near copies within its window of text be one node, so that a large
+    group costs a node or few per window. Linked sets share a shingle of their prefixes: nodes that share one
+    are a block, in which a signature tree's dual traversal finds those whose sets may overlap enough. They
+    fall into components, in which sets are verified, again by signature trees and only where they are not
+    connected yet. No link is missed but by a collision of 64-bit hashes; sets that are verified hold the
+    upper 48 bits of each hash, so a set of a million shingles has about 0.002 chance collisions inside it.
 
     Null texts are empty; empty documents are linked with nothing. Rows with the same id are one node. A
     null id gets its n_shingles and a null component_id. An empty table gives an empty result.
     """
     from plumbline.llm.words import shingles
 
-    n, size = text_bytes(docs, text_col)
-    buckets = 1 << max(3, (size // BUCKET_BYTES).bit_length())
+    spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, "id", "text", n))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "id", "text"))  # 2 * SAMPLE * SAMPLE_CHARS / FREQUENT / 2 numbers at most
 
     def contract(batches):
         from pyspark import TaskContext
 
         caches.only("words")
-        number = TaskContext.get().partitionId()
+        first = TaskContext.get().partitionId() << 32
         w = _Window(percent)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 w.add(i, shingles(text), len(text))
                 if w.held >= WINDOW_BYTES:
-                    yield _flush(w, frequent.value, buckets, number)
-                    w, number = _Window(percent), number + 7919
-        if w.ids:
-            yield _flush(w, frequent.value, buckets, number)
-
-    keyed = rows.filter("id IS NOT NULL").mapInArrow(contract, "bucket int, kind tinyint, x binary, y binary, z binary")
-    met = materialise(keyed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet, _FOUND), "near-keys")
-    members = met.filter("kind = 0").select("id", F.col("a").alias("n"), F.col("b").alias("leader"))
-    nodes = met.filter("kind = 2").select(F.col("id").alias("leader"), F.col("a").alias("low"), F.col("b").alias("high"), "s", "t")
-    shared = met.filter("kind = 1").select(F.col("id").alias("leader"), F.col("a").alias("token"), "bucket")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        get = lambda c: t.column(c).to_numpy()
-        u, v = block_pairs(get("token"), get("leader"), get("low"), get("high"), t.column("s").to_pylist(), t.column("t").to_pylist(), percent)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    def forest(t: pa.Table) -> pa.Table:
-        """Fewer links than leaders, which connect those that pairs() connects."""
-        found = pairs(t)
-        names, at = np.unique(np.concatenate([found.column("u").to_numpy(), found.column("v").to_numpy()]), return_inverse=True)
-        root = smallest(len(names), at[: found.num_rows], at[found.num_rows :])
-        on = np.flatnonzero(root != np.arange(len(names)))
-        return pa.table({"u": pa.array(names[on], pa.int64()), "v": pa.array(names[root[on]], pa.int64())})
-
-    followers = members.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v"))
-    keyed_nodes = shared.join(nodes, "leader")
-    reach = components(keyed_nodes.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(forest, "u bigint, v bigint"))
-    sizes = materialise(reach.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
-    large = sizes.filter(F.col("size") > TOGETHER).select("component")
-    tested = verify_groups(reach.join(sizes.filter(F.col("size") <= TOGETHER), "component"), nodes.filter("t IS NOT NULL"), rows, percent)
-    tested = materialise(tested, "near-tested")
-    links, candidates = tested.filter("ok").select("u", "v"), tested.filter("NOT ok").select("u", "v")
-    if large.limit(1).count():
-        # Too many to gather: their pairs are listed, and verified one by one.
-        own = reach.join(large, "component", "left_semi").select(F.col("node").alias("leader"))
-        listed = keyed_nodes.join(own, "leader", "left_semi").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(pairs, "u bigint, v bigint")
-        listed = materialise(listed.distinct(), "near-listed")
-        links, candidates = links.unionByName(materialise(verify(listed, rows, percent), "near-links")), candidates.unionByName(listed)
-    found = components(links)
-
-    # Members other than leaders matter only where the leaders' groups are not connected yet.
-    open_pairs = candidates.join(found.withColumnsRenamed({"node": "u", "component": "cu"}), "u", "left").join(found.withColumnsRenamed({"node": "v", "component": "cv"}), "v", "left")
-    open_pairs = open_pairs.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    many = followers.select(F.col("v").alias("leader")).distinct().withColumn("many", F.lit(True))
-    open_pairs = open_pairs.join(many.withColumnsRenamed({"leader": "u", "many": "mu"}), "u", "left").join(many.withColumnsRenamed({"leader": "v", "many": "mv"}), "v", "left").filter("mu OR mv").select("u", "v")
-    inside = members.select(F.col("id"), "leader").distinct()
-    each = open_pairs.join(inside.withColumnsRenamed({"leader": "u", "id": "a"}), "u").join(inside.withColumnsRenamed({"leader": "v", "id": "b"}), "v")
-    each = materialise(each.filter("NOT (a = u AND b = v)").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-members")
-    if each.limit(1).count():
-        links = links.unionByName(materialise(verify(each, rows, percent), "near-links"))
-    found = components(links.unionByName(followers))
-    known = members.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-    def count(batches):
-        for batch in batches:
-            yield _rows([[None] * batch.num_rows, [len(shingles(t.as_py())) for t in batch.column(1)], [None] * batch.num_rows], [pa.int64()] * 3, ["doc_id", "n_shingles", "component_id"])
-
-    nameless = rows.filter("id IS NULL").mapInArrow(count, "doc_id bigint, n_shingles bigint, component_id bigint")
-    return known.unionByName(nameless)
+                    yield w.flush(frequent.value, first)
+                    first += len(w.members)
+                    w = _Window(percent)
+        if w.docs:
+            yield w.flush(frequent.value, first)
+
+    contracted = materialise(rows.mapInArrow(contract, _NODES_SQL), "near-nodes")
+    members = contracted.filter("kind = 0").select("id", "n", "node", "lead", "radius", "set")
+    nodes = contracted.filter("kind = 1").select("node", "low", "high", "some", "every", "tokens")
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // KEY_BYTES))
+    keys = nodes.select(F.explode("tokens").alias("token"), "node").repartition(parts, "token")
+    blocks = materialise(keys.mapInArrow(_meet, "block bigint, node bigint, size bigint").distinct(), "near-blocks")
+    split = blocks.withColumn("parts", F.ceil(F.col("size") / BLOCK_NODES)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    split = split.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
+    known = split.join(nodes.drop("tokens"), "node")
+    tasks = max(1, min(blocks.count() // 500 + 1, parts * 4))
+    dealt = known.withColumn("bucket", F.pmod(F.xxhash64("block", "lo", "hi"), F.lit(tasks)).cast("int")).repartition(tasks, "bucket")
+    reach = components(dealt.groupBy("bucket").applyInArrow(_forest(percent), "u bigint, v bigint"))
+
+    links = verify(reach, members.select("node", "n", "lead", "radius", "set"), percent)
+    label = components(links).withColumnRenamed("component", "label")
+    grouped = members.filter("node IS NOT NULL").select("id", "node").join(label, "node", "left").select("id", F.coalesce("label", "node").alias("label")).distinct()
+    stars = grouped.join(grouped.groupBy("label").agg(F.min("id").alias("least")), "label").filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    found = components(stars).withColumnRenamed("node", "id")
+    return members.join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch_path, text_bytes, text_or_empty
+from plumbline.llm.common import input_bytes, scratch_path, text_or_empty
 
 MAGIC = b"PLTOK1\0\0"
 #: magic, documents, ids, bytes of an id, low bits, bytes of: doc ids, low part, high part, select samples.
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     above file_bytes of text, several. A file is written under a task's own name and then renamed, so a
     retried task or a lost executor leaves one whole file. path is a folder that all executors see.
     """
-    n, size = text_bytes(docs, text_col)
+    n, size = docs.count(), input_bytes(docs)
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), text_or_empty(F.col(text_col)).alias("t")).withColumn("h", F.xxhash64("t"))
     parts = max(1, -(-size // file_bytes))
     ordered = rows.repartitionByRange(parts, F.col("i").asc_nulls_first(), "h").sortWithinPartitions(F.col("i").asc_nulls_first(), "h")

@@ -58,19 +58,26 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize(("window", "together"), [(1 << 24, 20000), (2000, 20000), (1, 20000), (1, 3)])
-def test_near_copies(spark, copies, window, together, monkeypatch):
+LIMITS = [(1 << 24, 1 << 22, 2048), (2000, 1 << 22, 2048), (1, 1 << 22, 4), (1, 5000, 3)]
+
+
+def limit(monkeypatch, window, chunk, block):
     monkeypatch.setattr(near_dup, "WINDOW_BYTES", window)
-    monkeypatch.setattr(near_dup, "TOGETHER", together)
+    monkeypatch.setattr(near_dup, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", block)
+
+
+@pytest.mark.parametrize(("window", "chunk", "block"), LIMITS)
+def test_near_copies(spark, copies, window, chunk, block, monkeypatch):
+    limit(monkeypatch, window, chunk, block)
     df = spark.createDataFrame(copies, "doc_id bigint, text string")
     assert found(near_dup.near_components(df)) == near(copies)
 
 
-@pytest.mark.parametrize(("window", "together"), [(1 << 24, 20000), (2000, 20000), (1, 20000), (1 << 24, 2), (1, 2)])
-def test_links_of_followers(spark, window, together, monkeypatch):
+@pytest.mark.parametrize(("window", "chunk", "block"), LIMITS)
+def test_links_of_followers(spark, window, chunk, block, monkeypatch):
     """A follower is linked to a document, or to its follower, that its leader is too large to be linked to."""
-    monkeypatch.setattr(near_dup, "WINDOW_BYTES", window)
-    monkeypatch.setattr(near_dup, "TOGETHER", together)
+    limit(monkeypatch, window, chunk, block)
     rows = []
     for g in range(12):
         words = [f"w{g}x{k}" for k in range(104)]
@@ -82,6 +89,39 @@ def test_links_of_followers(spark, window, together, monkeypatch):
     assert found(near_dup.near_components(df)) == want
 
 
+def test_large_group_of_near_copies(spark):
+    """5,000 near copies of 400 shingles: all linked, in tests of about one for each."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(404)] = f"x{i}"
+        rows.append((i + 7, " ".join(words)))
+    sets = [near_dup_set(t) for _, t in rows]
+    tests, plain = [0], near_dup.linked
+
+    def counted(*args):
+        tests[0] += 1
+        return plain(*args)
+
+    near_dup.linked = counted
+    try:
+        groups = near_dup.Groups(len(sets))
+        assert len(near_dup.connect(sets, groups, 75)) == len(sets) - 1 and tests[0] < 3 * len(sets)
+    finally:
+        near_dup.linked = plain
+    got = near_dup.near_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16)).collect()
+    assert len(got) == 5000 and {r["component_id"] for r in got} == {7}
+
+
+def near_dup_set(text):
+    from plumbline.llm.words import shingles, unpack48, pack48
+
+    return unpack48(pack48(shingles(text)))
+
+
 def test_near_copies_edges(spark):
     assert found(near_dup.near_components(data.documents(spark))) == near(data.ROWS)
     assert near_dup.near_components(data.empty(spark)).count() == 0
@@ -102,8 +142,8 @@ def test_tree_prunes_no_linked_pair():
     w = 128
     signs = np.stack([near_dup.fold(near_dup.signature(s, max(w, near_dup.width_of(len(s)))), w) for s in many])
     n = np.array([len(s) for s in many])
-    i, j = near_dup.tree_pairs(near_dup.Nodes(n, n, signs, signs), 75)
-    pairs = set(zip(i.tolist(), j.tolist()))
+    found = list(near_dup.tree_pairs(near_dup.Nodes(n, n, signs, signs), 75))
+    pairs = {p for i, j in found for p in zip(i.tolist(), j.tolist())}
     linked = {(a, b) for b in range(len(many)) for a in range(b) if near_dup.linked(many[a], many[b], 75)}
     assert linked and linked <= pairs and len(pairs) < len(many) * (len(many) - 1) // 4
 
