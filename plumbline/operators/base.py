@@ -109,6 +109,21 @@ class ScanAnalyzer(Analyzer):
             out[k] = y if x is None else x if y is None else _MERGES[kind][1](x, y)
         return State(out)
 
+    def aggregate_state_to(self, a, b, target) -> None:
+        """Keep in target what two providers' states merge to; of one alone, that one; of none, nothing."""
+        states = [s for s in (a.load(self), b.load(self)) if s is not None]
+        if states:
+            target.persist(self, states[0] if len(states) == 1 else self.merge(*states))
+
+    def load_state_and_compute_metric(self, source) -> Metric:
+        """The metric of the state that a provider keeps."""
+        return self.metric_from(source.load(self))
+
+    def copy_state_to(self, source, target) -> None:
+        state = source.load(self)
+        if state is not None:
+            target.persist(self, state)
+
     def is_empty(self, state: State) -> bool:
         return any(state.values[k] is None for k in self.parts)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import exprs as X
@@ -30,9 +30,12 @@ def frequencies(df: DataFrame, columns: tuple[str, ...], where: str | None = Non
     return rows.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(columns))).agg(F.count(F.lit(1)).alias(FREQUENCY))
 
 
-def merge_frequencies(a: DataFrame, b: DataFrame) -> DataFrame:
-    keys = [c for c in a.columns if c != FREQUENCY]
-    return a.unionByName(b).groupBy(*keys).agg(F.sum(FREQUENCY).alias(FREQUENCY))
+def merge_frequencies(*tables: DataFrame) -> DataFrame:
+    """All tables united and grouped once, however many they are."""
+    if len(tables) == 1:
+        return tables[0]
+    keys = [c for c in tables[0].columns if c != FREQUENCY]
+    return reduce(DataFrame.unionByName, tables).groupBy(*keys).agg(F.sum(FREQUENCY).alias(FREQUENCY))
 
 
 class GroupingAnalyzer(Analyzer):
@@ -56,9 +59,27 @@ class GroupingAnalyzer(Analyzer):
     def preconditions(self):
         return [X.at_least_one(self.columns), *(X.exists(c) for c in self.columns), *(X.not_nested(c) for c in self.columns)]
 
-    def prepare(self, table: DataFrame) -> dict[str, Column]:
-        """Columns to add to the frequency table before it is aggregated."""
-        return {}
+    def aggregate_state_to(self, a, b, target) -> None:
+        """Keep in target the frequency table that two providers' tables merge to."""
+        tables = [t for t in (a.load_frequencies(self.grouping), b.load_frequencies(self.grouping)) if t is not None]
+        if tables:
+            target.persist_frequencies(self.grouping, merge_frequencies(*tables))
+
+    def load_state_and_compute_metric(self, source):
+        """The metric of the frequency table that a provider keeps."""
+        from plumbline.plans.runner import grouping_aggs
+
+        table = source.load_frequencies(self.grouping)
+        return self.metric_from(None if table is None else grouping_aggs(table, self.grouping[0], [self]).first()[0])
+
+    def copy_state_to(self, source, target) -> None:
+        table = source.load_frequencies(self.grouping)
+        if table is not None:
+            target.persist_frequencies(self.grouping, table)
+
+    def value_frame(self, table: DataFrame) -> DataFrame | None:
+        """The metric as a frame of one row (value), where it takes more than one aggregation of the frequency table."""
+        return None
 
     def value_agg(self) -> Column:
         """The metric as an aggregate over the frequency table; null if it is empty."""
@@ -154,7 +175,9 @@ class Entropy(GroupingAnalyzer):
 class MutualInformation(_Columns):
     """Of two columns, in nats. Pairs with a null add to the marginals and the number of rows, not to the sum.
 
-    Marginals are sums over windows of the joint frequencies: no join back to them.
+    sum f/N ln(f N / (x y)) over the pairs without null is (sum f ln f - sum t ln x - sum t ln y + ln N sum f) / N,
+    where t is the part of a marginal that lies in such pairs: three aggregations, each combined in its
+    tasks before it is shuffled, whose rows are added up. No window, no join.
     """
 
     columns: tuple[str, ...]
@@ -169,15 +192,15 @@ class MutualInformation(_Columns):
     def preconditions(self):
         return [X.exactly(2, self.columns), *super().preconditions()]
 
-    def prepare(self, table):
-        return {f"__m{i}": F.sum(_freq()).over(Window.partitionBy(f"k{i}")) for i in range(2)}
-
-    def value_agg(self):
-        there = F.col("k0").isNotNull() & F.col("k1").isNotNull()
-        x, y = F.col("__m0"), F.col("__m1")
-        # sum f/N ln(f N / (x y)) = (sum f ln(f / (x y)) + ln N sum f) / N over pairs without null
-        part = F.sum(F.when(there, _freq() * (F.ln(_freq()) - F.ln(x) - F.ln(y))).otherwise(0.0))
-        return (part + F.ln(F.sum(_freq())) * F.sum(F.when(there, _freq()).otherwise(0))) / F.sum(_freq())
+    def value_frame(self, table):
+        there = F.when(F.col("k0").isNotNull() & F.col("k1").isNotNull(), _freq()).otherwise(0)
+        pairs = table.select((there * F.ln(_freq())).alias("part"), there.alias("there"), _freq().alias("n"))
+        parts = [pairs.agg(F.sum("part").alias("part"), F.sum("there").alias("there"), F.sum("n").alias("n"))]
+        for k in ("k0", "k1"):
+            marginal = table.groupBy(k).agg(F.sum(there).alias("t"), F.sum(_freq()).alias("x"))
+            parts.append(marginal.select((-F.col("t") * F.ln("x")).alias("part"), F.lit(0).alias("there"), F.lit(0).alias("n")))
+        whole = reduce(DataFrame.unionByName, parts).agg(F.sum("part").alias("part"), F.sum("there").alias("there"), F.sum("n").alias("n"))
+        return whole.select(F.when(F.col("n") > 0, (F.col("part") + F.ln("n") * F.col("there")) / F.col("n")).alias("value"))
 
 
 @dataclass(frozen=True)

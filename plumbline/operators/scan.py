@@ -6,6 +6,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import ClassVar
 
 from pyspark.sql import Column
@@ -371,6 +372,25 @@ class _Sketch(ScanAnalyzer):
         return rows.select(self.value_expr({"sketch": F.col("sketch")})).first()[0]
 
 
+def merge_all(states: Mapping[ScanAnalyzer, list[State]]) -> dict[ScanAnalyzer, State]:
+    """The merged state of each analyzer's states. Sketches of all analyzers are merged in one job."""
+    out, rows, columns = {}, [], {}
+    for a, found in states.items():
+        there = [s.values["sketch"] for s in found if s.values["sketch"] is not None] if isinstance(a, _Sketch) else []
+        if len(there) < 2:
+            out[a] = reduce(a.merge, found)
+            continue
+        i = len(columns)
+        rows += [(i, bytearray(x)) for x in there]
+        columns[a] = a.merge_exprs({"sketch": F.when(F.col("i") == i, F.col("sketch"))})["sketch"].alias(f"s{i}")
+    if columns:
+        from pyspark.sql import SparkSession
+
+        row = SparkSession.active().createDataFrame(rows, "i int, sketch binary").agg(*columns.values()).first()
+        out |= {a: State({"sketch": bytes(x)}) for a, x in zip(columns, row, strict=True)}
+    return out
+
+
 @dataclass(frozen=True)
 class ApproxCountDistinct(_Sketch):
     """Distinct values by a mergeable HyperLogLog sketch."""

@@ -12,7 +12,12 @@ from plumbline.operators.base import Analyzer, State
 
 
 class InMemoryStateProvider:
-    """States by analyzer and frequency tables by keys and filter; analyzers are looked up by value."""
+    """States by analyzer and frequency tables by keys and filter; analyzers are looked up by value.
+
+    Tables stay cached in Spark until clear().
+    """
+
+    keeps_tables = True
 
     def __init__(self):
         self._states: dict[str, State] = {}
@@ -30,6 +35,11 @@ class InMemoryStateProvider:
     def persist_frequencies(self, key: tuple, table: DataFrame) -> None:
         self._tables[key] = table
 
+    def clear(self) -> None:
+        for table in self._tables.values():
+            table.unpersist()
+        self._states, self._tables = {}, {}
+
 
 class FileStateProvider:
     """The same in a folder of any file system that Spark reaches: JSON for states, Parquet for frequency tables."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 from plumbline.model import Metric, MetricError, ResultKey
 from plumbline.operators.base import Analyzer, ScanAnalyzer, State
 from plumbline.operators.grouping import GroupingAnalyzer, Histogram, frequencies, merge_frequencies
-from plumbline.operators.scan import DataType
+from plumbline.operators.scan import DataType, merge_all
 from plumbline.operators.states import InMemoryStateProvider
 
 METRIC_SCHEMA = "entity string, instance string, name string, value double"
@@ -145,14 +146,16 @@ def _scan(df: DataFrame, analyzers: list[ScanAnalyzer]) -> dict[ScanAnalyzer, St
 
 
 def grouping_aggs(table: DataFrame, keys: tuple[str, ...], analyzers: list[GroupingAnalyzer]) -> DataFrame:
-    """The metrics m0, m1, .. of analyzers that share a frequency table, in one aggregation over it."""
-    prepared, aggs = table, []
-    for i, a in enumerate(analyzers):
-        new = a.prepare(table)
-        if new:
-            prepared = prepared.withColumns({n: e for n, e in new.items() if n not in prepared.columns})
-        aggs.append(a.value_agg().alias(f"m{i}"))
-    return prepared.agg(*aggs)
+    """The metrics m0, m1, .. of analyzers that share a frequency table: one aggregation for all whose metric is one."""
+    frames = {i: f for i, a in enumerate(analyzers) if (f := a.value_frame(table)) is not None}
+    plain = [(i, a) for i, a in enumerate(analyzers) if i not in frames]
+    if not frames:
+        return table.agg(*(a.value_agg().alias(f"m{i}") for i, a in plain))
+    rows = [f.select(F.lit(i).alias("i"), F.col("value").cast("double").alias("value")) for i, f in frames.items()]
+    if plain:
+        one = table.agg(*(a.value_agg().cast("double").alias(f"m{i}") for i, a in plain))
+        rows.append(one.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("value")) for i, _ in plain)))))
+    return reduce(DataFrame.unionByName, rows).agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"m{i}") for i in range(len(analyzers))))
 
 
 def grouping_metrics(df: DataFrame, analyzers: list[GroupingAnalyzer]) -> DataFrame:
@@ -226,17 +229,20 @@ def run_analysis(
         if isinstance(a, GroupingAnalyzer):
             groups.setdefault(a.grouping, []).append(a)
     for (keys, where), members in groups.items():
+        held = None  # a provider that keeps the table itself frees it with clear()
         try:
             table = frequencies(df, keys, where)
             earlier = aggregate_with.load_frequencies((keys, where)) if aggregate_with is not None else None
             table = table if earlier is None else merge_frequencies(earlier, table)
-            keep = save_states_with is not None
-            if keep:
-                table = table.persist(StorageLevel.MEMORY_AND_DISK)
+            if save_states_with is not None:
+                table = held = table.persist(StorageLevel.MEMORY_AND_DISK)
                 save_states_with.persist_frequencies((keys, where), table)
             metrics |= _group(table, keys, members)
         except Exception as e:  # noqa: BLE001
             metrics |= {a: a.failure(e) for a in members}
+        finally:
+            if held is not None and not getattr(save_states_with, "keeps_tables", False):
+                held.unpersist()
 
     for a in good:
         if isinstance(a, Histogram):
@@ -256,33 +262,28 @@ def run_on_aggregated_states(schema: T.StructType, analyzers: Iterable[Analyzer]
     wanted, providers = list(dict.fromkeys(analyzers)), list(providers)
     metrics = _failed(schema, wanted)
     merged = InMemoryStateProvider()
+    found = {a: [x for p in providers if (x := p.load(a)) is not None] for a in wanted if a not in metrics and isinstance(a, ScanAnalyzer)}
+    states = merge_all({a: x for a, x in found.items() if x})
     for a in wanted:
-        if a in metrics:
-            continue
-        if isinstance(a, ScanAnalyzer):
-            state = None
-            for p in providers:
-                found = p.load(a)
-                state = found if state is None else state if found is None else a.merge(state, found)
+        if a in found:
+            state = states.get(a)
             if state is not None:
                 merged.persist(a, state)
                 if save_states_with is not None:
                     save_states_with.persist(a, state)
             metrics[a] = a.metric_from(state)
-        elif not isinstance(a, GroupingAnalyzer):
+        elif a not in metrics and not isinstance(a, GroupingAnalyzer):
             metrics[a] = a.failure(MetricError(f"{a} has no mergeable state"))
     groups: dict[tuple, list[GroupingAnalyzer]] = {}
     for a in wanted:
         if a not in metrics:
             groups.setdefault(a.grouping, []).append(a)
     for key, members in groups.items():
-        table = None
-        for p in providers:
-            found = p.load_frequencies(key)
-            table = found if table is None else table if found is None else merge_frequencies(table, found)
-        if table is None:
+        tables = [x for p in providers if (x := p.load_frequencies(key)) is not None]
+        if not tables:
             metrics |= {a: a.metric_from(None) for a in members}
             continue
+        table = merge_frequencies(*tables)
         if save_states_with is not None:
             save_states_with.persist_frequencies(key, table)
         metrics |= _group(table, key[0], members)

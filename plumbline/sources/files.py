@@ -44,3 +44,9 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     _, t = _fs(spark, target)
     fs.delete(t, True)
     fs.rename(s, t)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.operators.base import Analyzer
 from plumbline.operators.states import FileStateProvider
 from plumbline.plans.runner import AnalyzerContext, run_analysis
-from plumbline.sources.files import read_text, write_text
+from plumbline.sources.files import delete, read_text, write_text
 
 
 def track_stream(stream: DataFrame, analyzers: Iterable[Analyzer], state_path: str, on_metrics: Callable[[int, AnalyzerContext], None] | None = None, checkpoint: str | None = None, **trigger) -> StreamingQuery:
@@ -34,6 +34,7 @@ def track_stream(stream: DataFrame, analyzers: Iterable[Analyzer], state_path: s
         finally:
             batch.unpersist()
         write_text(spark, f"{state_path}/last.txt", str(number), True)
+        delete(spark, f"{state_path}/{number - 2}")
         if on_metrics is not None:
             on_metrics(number, context)
 
