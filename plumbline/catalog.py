@@ -6,22 +6,27 @@ the library and return its exports. Doubles are rounded on both sides.
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.anomaly import AbsoluteChange, OnlineNormal, RelativeRateOfChange, anomalies_by_series, flag_anomalies
+from plumbline.anomaly import AbsoluteChange, AnomalyDetector, DataPoint, OnlineNormal, RelativeRateOfChange, anomalies_by_series, flag_anomalies
 from plumbline.applicability import check_applicability
 from plumbline.checks import Check, CheckLevel
-from plumbline.constraints import ConstrainableType
+from plumbline.constraints import ConstrainableType, Constraint
 from plumbline.functions import patterns
 from plumbline.model import Entity, Metric, Outcome, ResultKey
 from plumbline.operators import grouping as G
 from plumbline.operators import scan as S
-from plumbline.operators.states import InMemoryStateProvider
-from plumbline.plans.runner import AnalyzerContext, grouping_metrics, merged_states, metric_frame, run_analysis, run_on_aggregated_states, scan_metrics, state_frame
-from plumbline.sources.repository import InMemoryMetricsRepository, history_filter
+from plumbline.operators.states import FileStateProvider, InMemoryStateProvider
+from plumbline.plans.runner import Analysis, AnalysisRunner, AnalyzerContext, grouping_metrics, merged_states, metric_frame, run_analysis, run_on_aggregated_states, scan_metrics, state_frame
+from plumbline.sources.files import read_text
+from plumbline.sources.repository import AnalysisResult, FileMetricsRepository, InMemoryMetricsRepository, history_filter
+from plumbline.sources.serde import deserialize, serialize
 from plumbline.verification import VerificationSuite, evaluate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,8 +91,19 @@ _metric("max_length_documents", "documents", S.MaxLength("text"), "max(length(te
 _metric("correlation", "lineitem", S.Correlation("l_quantity", "l_extendedprice"), "corr(l_quantity, l_extendedprice)")
 _metric("correlation_where", "lineitem", S.Correlation("l_quantity", "l_extendedprice", "l_returnflag = 'N'"), "corr(l_quantity, l_extendedprice) FILTER (WHERE l_returnflag = 'N')")
 _metric("pattern_match", "customer", S.PatternMatch("c_name", "#0*[1-5]"), "avg((regexp_extract(c_name, '#0*[1-5]', 0) <> '')::INT)")
-_metric("pattern_match_url", "pages", S.PatternMatch("url", patterns.URL), r"avg((regexp_extract(url, '(https?|ftp)://[^\s/$.?#].[^\s]*', 0) <> '')::INT)")
-_metric("pattern_match_url_html", "pages", S.PatternMatch("html", patterns.URL), r"avg((regexp_extract(html, '(https?|ftp)://[^\s/$.?#].[^\s]*', 0) <> '')::INT)")
+_metric("pattern_match_url", "pages", S.PatternMatch("url", patterns.URL), f"avg((regexp_extract(url, '{patterns.URL}', 0) <> '')::INT)")
+_metric("pattern_match_url_html", "pages", S.PatternMatch("html", patterns.URL), f"avg((regexp_extract(html, '{patterns.URL}', 0) <> '')::INT)")
+
+# RE2 has neither references nor look-ahead: separators are written out, and numbers by their digits.
+_CARDS = "|".join(rf"\b3[47]\d{{2}}{x}\d{{6}}{x}\d{{5}}\b|\b((4\d|5[1-5]|65)\d{{2}}|6011){x}\d{{4}}{x}\d{{4}}{x}\d{{4}}\b" for x in ("", "-", " "))
+_SSN_PARTS = r"(00[1-9]|0[1-9]\d|[1-57-8]\d{2}|6[0-57-9]\d|66[0-57-9])", r"(0[1-9]|[1-9]\d)", r"(000[1-9]|00[1-9]\d|0[1-9]\d{2}|[1-9]\d{3})"
+_SSNS = "|".join(x.join(_SSN_PARTS) for x in ("-", " ", ""))
+EMAIL_SQL = "(regexp_extract(text, '" + patterns.EMAIL.replace("'", "''") + "', 0) <> '')"
+CARD_SQL = f"(regexp_extract(text, '{_CARDS}', 0) <> '')"
+SSN_SQL = f"(len([x FOR x IN regexp_extract_all(text, '{_SSNS}') IF regexp_replace(x, '[- ]', '', 'g') NOT IN ('219099999', '078051120')]) > 0)"
+_metric("pattern_match_email", "documents", S.PatternMatch("text", patterns.EMAIL), f"avg(coalesce({EMAIL_SQL}, FALSE)::INT)")
+_metric("pattern_match_credit_card", "documents", S.PatternMatch("text", patterns.CREDIT_CARD), f"avg(coalesce({CARD_SQL}, FALSE)::INT)")
+_metric("pattern_match_ssn", "documents", S.PatternMatch("text", patterns.SOCIAL_SECURITY_NUMBER_US), f"avg(coalesce({SSN_SQL}, FALSE)::INT)")
 
 
 def _data_type(column: str, table: str, name: str) -> None:
@@ -109,31 +125,57 @@ _data_type("c_name", "customer", "data_type_string")
 _data_type("quality", LABELLED, "data_type_nulls")
 
 
-def _within(name: str, table: str, analyzer, check: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    """Register a query that says whether an approximate metric is within its error: column within."""
+def _within(name: str, table: str, analyzer, exact: Callable[[], list], sql: str, exact_sql: str) -> None:
+    """Register a query of exact numbers, and whether an approximate metric is within its error of them."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         df = _sources(spark, d, table)
-        exact = check(df).withColumn("one", F.lit(1))
-        return scan_metrics(df, [analyzer]).withColumn("one", F.lit(1)).join(F.broadcast(exact), "one").select(F.expr(sql).alias("within"))  # both have one row
+        there = df.agg(*exact()).withColumn("one", F.lit(1))
+        found = scan_metrics(df, [analyzer]).withColumn("one", F.lit(1)).join(F.broadcast(there), "one")  # both have one row
+        return found.select(*(c for c in there.columns if c != "one"), F.expr(sql).alias("within"))
 
     QUERIES[name] = query
-    ORACLE_SQL[name] = "SELECT TRUE AS within"
+    ORACLE_SQL[name] = f"SELECT {exact_sql}, TRUE AS within FROM {table}"
 
 
-_within("approx_count_distinct_within_error", "lineitem", S.ApproxCountDistinct("l_partkey"), lambda df: df.agg(F.countDistinct("l_partkey").alias("exact")), "abs(value - exact) <= 0.05 * exact")
-_within("approx_quantile_within_error", "lineitem", S.ApproxQuantile("l_extendedprice", 0.5), lambda df: df.agg(F.percentile("l_extendedprice", F.array(F.lit(0.48), F.lit(0.52))).alias("p")), "value BETWEEN p[0] AND p[1]")
+_within("approx_count_distinct_within_error", "lineitem", S.ApproxCountDistinct("l_partkey"), lambda: [F.countDistinct("l_partkey").alias("exact")], "abs(value - exact) <= 0.05 * exact", "count(DISTINCT l_partkey) AS exact")
+_within(
+    "approx_quantile_within_error", "lineitem", S.ApproxQuantile("l_extendedprice", 0.5),
+    lambda: [F.round(F.percentile("l_extendedprice", q), 6).alias(n) for n, q in (("low", 0.48), ("high", 0.52))], "value BETWEEN low AND high",
+    "round(quantile_cont(l_extendedprice, 0.48)::DOUBLE, 6) AS low, round(quantile_cont(l_extendedprice, 0.52)::DOUBLE, 6) AS high",
+)
 
 
 def _kll(spark: SparkSession, d: str) -> DataFrame:
-    df = _table("lineitem")(spark, d)
-    found = run_analysis(df, [S.KllSketch("l_extendedprice", 10)])[S.KllSketch("l_extendedprice", 10)].value
-    n = sum(b.absolute for b in found.values.values())
-    return spark.createDataFrame([(len(found.values), abs(n - df.count()) <= 10)], "bins int, complete boolean")
+    """Buckets of the sketch, their edges, exact counts up to each edge, and whether the sketch's counts are near them."""
+    df, analyzer = _table("lineitem")(spark, d), S.KllSketch("l_extendedprice", 10)
+    found = list(run_analysis(df, [analyzer])[analyzer].value.values.values())
+    low, high = df.agg(F.min("l_extendedprice").cast("double"), F.max("l_extendedprice").cast("double")).first()
+    edges = [low + (high - low) * (i + 1) / 10 for i in range(10)]
+    exact = df.agg(*(F.count(F.when(F.col("l_extendedprice") <= e if i < 9 else F.lit(True), 1)).alias(f"n{i}") for i, e in enumerate(edges))).first()
+    rows, sketched = [], 0
+    for i, b in enumerate(found):
+        sketched += b.absolute
+        rows.append((i, exact[i], abs(sketched - exact[i]) <= 0.02 * exact[9] + 10))
+    return spark.createDataFrame(rows, "bucket int, up_to bigint, near boolean")
 
 
 QUERIES["kll_sketch"] = _kll
-ORACLE_SQL["kll_sketch"] = "SELECT 10::INT AS bins, TRUE AS complete"
+ORACLE_SQL["kll_sketch"] = "WITH e AS (SELECT min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi FROM lineitem) SELECT i::INT AS bucket, (SELECT count(*) FROM lineitem WHERE i = 9 OR l_extendedprice <= lo + (hi - lo) * (i + 1) / 10)::BIGINT AS up_to, TRUE AS near FROM e, range(10) t(i)"
+
+
+def _quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quartiles of one sketch beside the exact bounds 2 % of rows lower and higher."""
+    df, qs = _table("lineitem")(spark, d), (0.25, 0.5, 0.75)
+    analyzer = S.ApproxQuantiles("l_extendedprice", qs)
+    found = run_analysis(df, [analyzer])[analyzer].value.values
+    bounds = df.agg(*(F.percentile("l_extendedprice", q + e) for q in qs for e in (-0.02, 0.02))).first()
+    rows = [(q, round(bounds[2 * i], 4), round(bounds[2 * i + 1], 4), bounds[2 * i] <= found[repr(q)].ratio <= bounds[2 * i + 1]) for i, q in enumerate(qs)]
+    return spark.createDataFrame(rows, "quantile double, low double, high double, within boolean")
+
+
+QUERIES["approx_quantiles"] = _quantiles
+ORACLE_SQL["approx_quantiles"] = " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(l_extendedprice, {q - 0.02})::DOUBLE, 4) AS low, round(quantile_cont(l_extendedprice, {q + 0.02})::DOUBLE, 4) AS high, TRUE AS within FROM lineitem" for q in (0.25, 0.5, 0.75))
 
 # --- Frequencies ----------------------------------------------------------------------------------------
 
@@ -255,12 +297,16 @@ _CHECKS: list[tuple[str, str, Callable[[Check], Check], str]] = [
     ("check_has_max_length", "part", lambda c: c.has_max_length("p_name", lambda x: x < 5), "max(length(p_name)) < 5"),
     ("check_has_approx_count_distinct", "lineitem", lambda c: c.has_approx_count_distinct("l_suppkey", lambda x: x > 5), "count(DISTINCT l_suppkey) > 5"),
     ("check_has_approx_quantile", "lineitem", lambda c: c.has_approx_quantile("l_quantity", 0.5, lambda x: 20 < x < 30), "median(l_quantity) BETWEEN 20 AND 30"),
-    ("check_kll_sketch", "lineitem", lambda c: c.kll_sketch_satisfies("l_quantity", lambda d: d.number_of_bins == 8, 8), "TRUE"),
+    ("check_kll_sketch", "lineitem", lambda c: c.kll_sketch_satisfies("l_quantity", lambda d: d.number_of_bins == 8 and 0.4 < sum(b.ratio for b in list(d.values.values())[:4]) < 0.6, 8), "(SELECT avg((l_quantity <= (lo + hi) / 2)::INT) FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)) BETWEEN 0.4 AND 0.6"),
     ("check_has_correlation", "lineitem", lambda c: c.has_correlation("l_quantity", "l_extendedprice", lambda x: x < 1), "corr(l_quantity, l_extendedprice) < 1"),
     ("check_satisfies", "orders", lambda c: c.satisfies("o_totalprice > 0", "paid"), "bool_and(o_totalprice > 0)"),
     ("check_has_pattern", "customer", lambda c: c.has_pattern("c_name", "^Customer"), "bool_and(regexp_matches(c_name, '^Customer'))"),
-    ("check_contains_url", "pages", lambda c: c.contains_url("url", lambda x: x > 0.9), r"avg((regexp_extract(url, '(https?|ftp)://[^\s/$.?#].[^\s]*', 0) <> '')::INT) > 0.9"),
-    ("check_data_type", "part", lambda c: c.has_data_type("p_size", ConstrainableType.NUMERIC), "TRUE"),
+    ("check_contains_url", "pages", lambda c: c.contains_url("url", lambda x: x > 0.9), f"avg((regexp_extract(url, '{patterns.URL}', 0) <> '')::INT) > 0.9"),
+    ("check_contains_email", "documents", lambda c: c.contains_email("text", lambda x: 0 < x < 0.1), f"avg(coalesce({EMAIL_SQL}, FALSE)::INT) > 0 AND avg(coalesce({EMAIL_SQL}, FALSE)::INT) < 0.1"),
+    ("check_contains_credit_card", "documents", lambda c: c.contains_credit_card_number("text", lambda x: x < 0.1), f"avg(coalesce({CARD_SQL}, FALSE)::INT) < 0.1"),
+    ("check_contains_ssn", "documents", lambda c: c.contains_ssn("text", lambda x: x < 0.1), f"avg(coalesce({SSN_SQL}, FALSE)::INT) < 0.1"),
+    ("check_add_constraint", "orders", lambda c: c.add_constraint(Constraint(S.Mean("o_totalprice"), lambda x: x > 150000, "mean price")), "avg(o_totalprice) > 150000"),
+    ("check_data_type", "part", lambda c: c.has_data_type("p_size", ConstrainableType.NUMERIC), r"bool_and(regexp_matches(CAST(p_size AS VARCHAR), '^(-|\+)? ?\d*\.?\d*$'))"),
     ("check_non_negative", "orders", lambda c: c.is_non_negative("o_totalprice"), "bool_and(coalesce(o_totalprice, 0) >= 0)"),
     ("check_positive", LABELLED, lambda c: c.is_positive("quality"), "bool_and(coalesce(quality, 1) >= 0)"),
     ("check_positive_strict", LABELLED, lambda c: c.is_positive("quality", strict=True), "bool_and(coalesce(quality, 1) > 0)"),
@@ -345,6 +391,93 @@ QUERIES["repository_loader"] = _repository
 ORACLE_SQL["repository_loader"] = "SELECT 'Dataset' AS entity, '*' AS instance, 'Size (where: l_returnflag = ''' || f || ''' )' AS name, count(*)::DOUBLE AS value, i::BIGINT AS dataset_date, f AS flag FROM lineitem JOIN (VALUES (1, 'N'), (2, 'R')) t(i, f) ON l_returnflag = f GROUP BY i, f"
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path for small files: in the cluster's shared folder, or, where none is set, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return f"{root}/plumbline-queries/{name}-{uuid.uuid4().hex}"
+
+
+_KEPT = [(S.Size(), "count(*)"), (S.Mean("l_quantity"), "avg(l_quantity)"), (S.Completeness("l_partkey"), "avg((l_partkey IS NOT NULL)::INT)")]
+
+
+def _file_repository(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by flag saved in a JSON file with two tags, the metrics of a key appended in turn; loaded by one tag."""
+    df, path = _table("lineitem")(spark, d), _scratch(spark, "repository") + ".json"
+    for i, flag in enumerate(("A", "N", "R")):
+        for analyzer, _ in _KEPT:
+            run_analysis(df.filter(F.col("l_returnflag") == flag), [analyzer], repository=FileMetricsRepository(spark, path), save_key=ResultKey(i, {"flag": flag, "kind": "kept" if i else "old"}))
+    loaded = FileMetricsRepository(spark, path).load().with_tag_values({"kind": "kept"}).for_analyzers([a for a, _ in _KEPT[:2]])
+    return _rounded(loaded.success_metrics_as_dataframe(spark, ["flag"]))
+
+
+QUERIES["repository_file_tags"] = _file_repository
+ORACLE_SQL["repository_file_tags"] = " UNION ALL ".join(f"SELECT * EXCLUDE (value), round(value, 6) AS value FROM (SELECT '{a.entity.value}' AS entity, '{a.instance}' AS instance, '{a.metric_name}' AS name, ({sql})::DOUBLE AS value, i::BIGINT AS dataset_date, f AS flag FROM lineitem JOIN (VALUES (1, 'N'), (2, 'R')) t(i, f) ON l_returnflag = f GROUP BY i, f)" for a, sql in _KEPT[:2])
+
+
+def _append(spark: SparkSession, d: str) -> DataFrame:
+    """Runs over two halves under one key: of a metric that both have the later stays, the others are kept."""
+    repository, df = InMemoryMetricsRepository(), _table("lineitem")(spark, d)
+    run_analysis(df.filter("l_quantity <= 25"), [S.Size(), S.Minimum("l_quantity")], repository=repository, save_key=ResultKey(7))
+    run_analysis(df.filter("l_quantity > 25"), [S.Size(), S.Maximum("l_quantity")], repository=repository, save_key=ResultKey(7))
+    return repository.load().success_metrics_as_dataframe(spark)
+
+
+QUERIES["repository_append"] = _append
+ORACLE_SQL["repository_append"] = "SELECT 'Dataset' AS entity, '*' AS instance, 'Size' AS name, count(*) FILTER (WHERE l_quantity > 25)::DOUBLE AS value, 7::BIGINT AS dataset_date FROM lineitem UNION ALL SELECT 'Column', 'l_quantity', 'Minimum', min(l_quantity)::DOUBLE, 7 FROM lineitem WHERE l_quantity <= 25 UNION ALL SELECT 'Column', 'l_quantity', 'Maximum', max(l_quantity)::DOUBLE, 7 FROM lineitem WHERE l_quantity > 25"
+
+
+def _round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a batch and a histogram, written as JSON and read again."""
+    context = run_analysis(_table("lineitem")(spark, d), [*(a for a, _ in _BATCH), G.Histogram("l_returnflag")])
+    found = deserialize(serialize([AnalysisResult(ResultKey(3, {"a": "b"}), context)]))[0]
+    return _rounded(found.context.success_metrics_as_dataframe(spark).filter("name NOT LIKE 'Histogram.ratio%'"))
+
+
+QUERIES["serde_round_trip"] = _round_trip
+ORACLE_SQL["serde_round_trip"] = ORACLE_SQL["analysis_batch"] + " UNION ALL SELECT 'Column', 'l_returnflag', 'Histogram.bins', count(DISTINCT l_returnflag)::DOUBLE FROM lineitem UNION ALL SELECT 'Column', 'l_returnflag', 'Histogram.abs.' || l_returnflag, count(*)::DOUBLE FROM lineitem GROUP BY l_returnflag"
+
+
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    """A fluent run whose metrics go to a JSON file, and the file's rows."""
+    path = _scratch(spark, "metrics") + ".json"
+    AnalysisRunner.on_data(_table("lineitem")(spark, d)).add_analyzers([a for a, _ in _KEPT]).save_success_metrics_json_to_path(path).run()
+    rows = json.loads(read_text(spark, path))
+    return _rounded(spark.createDataFrame([(r["entity"], r["instance"], r["name"], r["value"]) for r in rows], "entity string, instance string, name string, value double"))
+
+
+QUERIES["analysis_builder"] = _built
+ORACLE_SQL["analysis_builder"] = _rows_sql(_KEPT, "lineitem")
+
+
+def _analysis(spark: SparkSession, d: str) -> DataFrame:
+    """An Analysis over the later half, merged with the states of the first that files keep."""
+    df, provider = _table("lineitem")(spark, d), FileStateProvider(spark, _scratch(spark, "states"))
+    analyzers = [*(a for a, _ in _KEPT), G.Uniqueness("l_orderkey")]
+    run_analysis(df.filter("l_linenumber <= 3"), analyzers, save_states_with=provider)
+    found = Analysis().add_analyzers(analyzers).run(df.filter("l_linenumber > 3"), aggregate_with=provider)
+    return _rounded(found.success_metrics_as_dataframe(spark))
+
+
+QUERIES["analysis_with_file_states"] = _analysis
+ORACLE_SQL["analysis_with_file_states"] = _rows_sql(_KEPT, "lineitem") + " UNION ALL " + _rows_sql([(G.Uniqueness("l_orderkey"), "sum((f = 1)::INT) / sum(f)")], "(SELECT count(*) AS f FROM lineitem GROUP BY l_orderkey)")
+
+
+def _state_operations(spark: SparkSession, d: str) -> DataFrame:
+    """States of two parts merged into a third provider, copied to a fourth, and the metrics of that."""
+    df, wanted = _table("lineitem")(spark, d), [S.Mean("l_quantity"), S.StandardDeviation("l_quantity"), G.Distinctness("l_suppkey")]
+    a, b, both, copied = (InMemoryStateProvider() for _ in range(4))
+    run_analysis(df.filter("l_quantity <= 10"), wanted, save_states_with=a)
+    run_analysis(df.filter("l_quantity > 10"), wanted, save_states_with=b)
+    for x in wanted:
+        x.aggregate_state_to(a, b, both)
+        x.copy_state_to(both, copied)
+    return _rounded(AnalyzerContext({x: x.load_state_and_compute_metric(copied) for x in wanted}).success_metrics_as_dataframe(spark))
+
+
+QUERIES["state_operations"] = _state_operations
+ORACLE_SQL["state_operations"] = _rows_sql([(S.Mean("l_quantity"), "avg(l_quantity)"), (S.StandardDeviation("l_quantity"), "stddev_pop(l_quantity)")], "lineitem") + " UNION ALL " + _rows_sql([(G.Distinctness("l_suppkey"), "count(*) / sum(f)")], "(SELECT count(*) AS f FROM lineitem GROUP BY l_suppkey)")
+
+
 def _series(spark: SparkSession, d: str, name: str) -> DataFrame:
     return daily(spark, d).filter(F.col("name") == name).select(F.col("dataset_date").alias("time"), "value", F.lit("events").alias("series"))
 
@@ -363,6 +496,30 @@ _anomaly("anomaly_threshold", "Size", AbsoluteChange(max_decrease=100.0, max_inc
 _anomaly("anomaly_relative", "Mean", RelativeRateOfChange(max_rate_decrease=0.97, max_rate_increase=1.03), "value / lag(value) OVER w NOT BETWEEN 0.97 AND 1.03")
 _anomaly("anomaly_online_normal", "Mean", OnlineNormal(lower_factor=1.5, upper_factor=1.5, ignore_anomalies=False), "row_number() OVER w - 1 >= 0.1 * count(*) OVER () AND abs(value - avg(value) OVER u) > 1.5 * stddev_pop(value) OVER u")
 _anomaly("anomaly_online_normal_rollback", "Mean", OnlineNormal(lower_factor=1.5, upper_factor=1.5), "")
+# Mean and spread go on from the last point that was no anomaly.
+ORACLE_SQL["anomaly_online_normal_rollback"] = f"""
+WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, day AS time, v AS value, count(*) OVER () AS n FROM ({DAILY_SQL}) WHERE v IS NOT NULL),
+w AS (
+  SELECT i, time, value, value AS mean, 0.0::DOUBLE AS spread, FALSE AS odd FROM p WHERE i = 0
+  UNION ALL
+  SELECT i, time, value, CASE WHEN odd THEN mean ELSE new_mean END, CASE WHEN odd THEN spread ELSE new_spread END, odd FROM (
+    SELECT *, i >= 0.1 * n AND abs(value - new_mean) > 1.5 * sqrt(greatest(0, new_spread / (i + 1))) AS odd FROM (
+      SELECT *, spread + (value - mean) * (value - new_mean) AS new_spread FROM (
+        SELECT p.i, p.time, p.value, p.n, w.mean, w.spread, w.mean + (p.value - w.mean) / (p.i + 1) AS new_mean FROM w JOIN p ON p.i = w.i + 1)))
+)
+SELECT time, round(value, 6) AS value, odd AS is_anomaly FROM w"""
+
+
+def _interval(spark: SparkSession, d: str) -> DataFrame:
+    """Anomalies of daily sizes at days 10 to 19 of the series, with their values: changes look at days before."""
+    points = [DataPoint(r["time"], r["value"]) for r in _series(spark, d, "Size").collect()]  # a row a day
+    first = min(p.time for p in points)
+    found = AnomalyDetector(AbsoluteChange(max_decrease=-5.0, max_increase=5.0)).detect_anomalies_in_history(points, first + 10, first + 20)
+    return spark.createDataFrame([(t, a.value, a.confidence) for t, a in found], "time bigint, value double, confidence double")
+
+
+QUERIES["anomaly_interval"] = _interval
+ORACLE_SQL["anomaly_interval"] = f"WITH t AS (SELECT day AS time, n::DOUBLE AS value, n - lag(n) OVER (ORDER BY day) AS change, min(day) OVER () AS first FROM ({DAILY_SQL})) SELECT time, value, 1.0::DOUBLE AS confidence FROM t WHERE time >= first + 10 AND time < first + 20 AND abs(change) > 5"
 
 
 def _anomaly_check(spark: SparkSession, d: str) -> DataFrame:
