@@ -112,3 +112,12 @@ def input_bytes(df: DataFrame) -> int:
         size = int(str(leaves.apply(i).stats().sizeInBytes()))
         total += size if size < 1 << 60 else df.rdd.getNumPartitions() << 23
     return total
+
+
+#: Rows of a few numbers each (8 MB) that are broadcast; a table with more is joined by a shuffle.
+SMALL = 500_000
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= SMALL else df

@@ -191,6 +191,26 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [1.0, 1.0001], 0), (3, [1e200, 1e200], 0), (4, [1e200, 1.0001e200], 0), (5, [5e-324, 0.0], 0), (6, [1.0, 0.1], 0), (7, [-1.0, 1.0], 0), (8, [3.0], 0), (9, [-0.0, 2.0], 0), (10, [0.0, 2.0], 0)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id bigint, embedding array<double>, label int, key string, class int, n int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8), 9: (1, 9), 10: (1, 9)}
+
+
+def test_vectors_in_many_runs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(9, 12))
+    rows = [(i, (centres[i % 9] + rng.normal(size=12) * 0.2).tolist(), i % 2) for i in range(260)]
+    rows += [(1000 + i, rows[i % 3][1], 0) for i in range(60)] + [(2000 + i, rng.normal(size=5 + i % 20).tolist(), 0) for i in range(60)]
+    monkeypatch.setattr(vectors, "INTERVAL", 5)
+    monkeypatch.setattr(vectors, "RUN_BYTES", 1000)
+    monkeypatch.setattr(vectors, "BASES", 2)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect())
+    assert got == brute(rows)
+
+
 def test_distant_intervals_are_skipped():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 6))
