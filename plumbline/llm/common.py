@@ -89,7 +89,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_plumbline_path", None)
+        if path is not None:
+            delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables so far: for long sessions, when no result of these operators is still to be read."""
+    for at, (session, path) in reversed(list(enumerate(_TO_DELETE))):
+        if session is spark:
+            delete(spark, path)
+            del _TO_DELETE[at]
 
 
 def text_or_empty(text: Column) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise
+from plumbline.llm.common import discard, materialise, ship_package
 
 #: Links that a task contracts at once.
 TASK_LINKS = 500_000
@@ -48,18 +48,23 @@ def components(links: DataFrame) -> DataFrame:
     Tasks of TASK_LINKS links at most contract them to stars; then large-star and small-star steps
     alternate until nothing changes (Kiveris et al., 2014), each written to the shared folder.
     """
+    ship_package(links.sparkSession)
     star = links.filter("u <> v").select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v"))
-    star = materialise(star.distinct(), "links")
-    tasks = max(1, -(-star.count() // TASK_LINKS))
-    star = materialise(star.repartition(tasks).mapInArrow(_contract, "u bigint, v bigint"), "stars")
+    given = materialise(star.distinct(), "links")
+    tasks = max(1, -(-given.count() // TASK_LINKS))
+    star = materialise(given.repartition(tasks).mapInArrow(_contract, "u bigint, v bigint"), "stars")
+    discard(given)
     before = None
     while tasks > 1:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = materialise(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
+        # Written, so that each join has plain shuffles on both sides, of which Spark splits a hot root's.
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "large-stars")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        moved = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, star = star, materialise(moved.unionByName(lower.withColumnRenamed("m", "v")).distinct(), "stars")
+        discard(old, low, large, lower)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

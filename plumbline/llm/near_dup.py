@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import caches
-from plumbline.llm.common import input_bytes, materialise, ship_package, text_or_empty
+from plumbline.llm.common import hinted, input_bytes, materialise, ship_package, text_or_empty
 from plumbline.llm.graph import components
 
-WINDOW_BYTES = 16 << 20  # text that a task contracts at once
+WINDOW_BYTES = 8 << 20  # text that a task contracts at once
 KEY_BYTES = 8 << 20  # text whose keys meet in a task
-CHUNK_BYTES = 4 << 20  # sets that are tested together
+CHUNK_BYTES = 12 << 20  # sets that are tested together
 BLOCK_NODES = 2048  # nodes of a block that are compared in one task; a larger one is compared by pairs of its parts
 SAMPLE, SAMPLE_CHARS = 4000, 1 << 14  # documents, about, and their length, at most, in which frequent shingles are looked for
 FREQUENT = 8  # documents of the sample that make a shingle frequent
@@ -215,9 +215,9 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray
 
 _NODES = pa.schema([
     ("kind", pa.int8()), ("node", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("radius", pa.float64()), ("set", pa.binary()),
-    ("low", pa.int64()), ("high", pa.int64()), ("some", pa.binary()), ("every", pa.binary()), ("tokens", pa.list_(pa.int64())),
+    ("low", pa.int64()), ("high", pa.int64()), ("some", pa.binary()), ("every", pa.binary()), ("digest", pa.binary()),
 ])
-_NODES_SQL = "kind tinyint, node bigint, id bigint, n bigint, lead boolean, radius double, set binary, low bigint, high bigint, some binary, every binary, tokens array<bigint>"
+_NODES_SQL = "kind tinyint, node bigint, id bigint, n bigint, lead boolean, radius double, set binary, low bigint, high bigint, some binary, every binary, digest binary"
 
 
 class _Window:
@@ -227,6 +227,7 @@ class _Window:
         self.percent, self.held = percent, 0
         self.docs: list[tuple[int | None, int, int]] = []  # id, size, place among the sets
         self.sets: list[np.ndarray] = []
+        self.digests: list[bytes] = []
         self.node: list[int] = []  # of each set
         self.members: list[list[int]] = []
         self.radius: list[float] = []  # the largest distance of a member to its node's first
@@ -244,6 +245,7 @@ class _Window:
             if at < 0:
                 at = self.same[key] = len(self.sets)
                 self.sets.append(s)
+                self.digests.append(key)
                 # Linked sets mostly agree in the first shingle of some quarter of all hashes. What is not found now is found later.
                 places = np.searchsorted(s, _QUARTERS)
                 keys = [(q, int(s[min(p, len(s) - 1)])) for q, p in enumerate(places)]
@@ -261,34 +263,27 @@ class _Window:
                 self.met.update((k, at) for k in keys)
         self.docs.append((doc_id, len(s), at))
 
-    def flush(self, frequent: np.ndarray, first: int) -> pa.RecordBatch:
+    def flush(self, first: int) -> pa.RecordBatch:
         """The window's rows; nodes are numbered from first."""
         from plumbline.llm.words import pack48
 
-        cols: list[list] = [[] for _ in _NODES]
-
-        def row(**values) -> None:
-            for c, f in zip(cols, _NODES, strict=True):
-                c.append(values.get(f.name))
-
+        rows: list[tuple] = []
         written: set[int] = set()
         for doc_id, n, at in self.docs:
             if at < 0:
-                row(kind=0, id=doc_id, n=n)
-            else:
-                node, new = self.node[at], at not in written
-                lead = new and self.members[node][0] == at
-                row(kind=0, node=first + node, id=doc_id, n=n, lead=lead, radius=self.radius[node] if lead else None, set=pack48(self.sets[at]) if new else None)
-                written.add(at)
+                rows.append((0, None, doc_id, n, None, None, None, None, None, None, None, None))
+                continue
+            node, new = self.node[at], at not in written
+            lead = new and self.members[node][0] == at
+            rows.append((0, first + node, doc_id, n, lead, self.radius[node] if lead else None, pack48(self.sets[at]) if new else None, None, None, None, None, None))
+            written.add(at)
         for k, members in enumerate(self.members):
-            tokens = [prefix(self.sets[m], frequent, self.percent) for m in members]
-            tokens = np.unique(np.concatenate(tokens)) if len(tokens) > 1 else tokens[0]
             sizes = [len(self.sets[m]) for m in members]
-            signs = np.stack([signature(self.sets[m] >> np.uint64(16), width_of(max(sizes))) for m in members])
-            some = np.bitwise_or.reduce(signs)
+            signs = [signature(self.sets[m] >> np.uint64(16), width_of(max(sizes))) for m in members]
+            some = np.bitwise_or.reduce(signs).tobytes() if len(members) > 1 else signs[0].tobytes()
             every = np.bitwise_and.reduce(signs).tobytes() if len(members) > 1 else None
-            row(kind=1, node=first + k, low=min(sizes), high=max(sizes), some=some.tobytes(), every=every, tokens=tokens.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES, strict=True)], schema=_NODES)
+            rows.append((1, first + k, None, None, None, None, None, min(sizes), max(sizes), some, every, None if every else self.digests[members[0]]))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODES, strict=True)], schema=_NODES)
 
 
 _QUARTERS = np.array([0, 1 << 62, 1 << 63, 3 << 62], np.uint64)
@@ -307,8 +302,10 @@ def _meet(batches):
         return
     token, node = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
     del held
-    order = np.argsort(token, kind="stable")
+    order = np.lexsort((node, token))
     token, node = token[order], node[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # members of a node have tokens in common
+    token, node = token[new], node[new]
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     hashes = np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
@@ -326,6 +323,7 @@ def _forest(percent: int):
     """Of a task's blocks: links that connect the nodes of each block of which some sets may be linked."""
 
     def forest(t: pa.Table) -> pa.Table:
+        caches.only("none")
         block = np.unique(np.stack([t.column(c).to_numpy() for c in ("block", "lo", "hi")]), axis=1, return_inverse=True)[1].ravel()
         names, at = np.unique(t.column("node").to_numpy(), return_inverse=True)
         low, high, some, every = (t.column(c) for c in ("low", "high", "some", "every"))
@@ -342,6 +340,7 @@ def _forest(percent: int):
 
         for w, own in by_width(low, high, width, percent):
             nodes = Nodes(low[own], high[own], np.stack([fold(some[k], w) for k in own]), np.stack([fold(every[k], w) for k in own]))
+            wide = width[own] > w  # two of these meet at their own width, where signatures are sharper
             order = np.argsort(block[own], kind="stable")
             own_block = block[own][order]
             starts = np.flatnonzero(np.r_[True, own_block[1:] != own_block[:-1]])
@@ -351,18 +350,23 @@ def _forest(percent: int):
                 a, b = np.triu_indices(size, 1)
                 for k in range(0, len(s), 1024):
                     i, j = order[(s[k : k + 1024, None] + a).ravel()], order[(s[k : k + 1024, None] + b).ravel()]
+                    apart = ~(wide[i] & wide[j])
+                    i, j = i[apart], j[apart]
                     ok = nodes.may_link(i, j, percent)
                     join(own[i[ok]], own[j[ok]])
             for s, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
                 inside = order[s : s + size]
-                tops = groups.tops()
+                mine = at[own[inside]].tolist()
+                tops = np.array([groups.top(x) for x in mine])
+
+                beyond = wide[inside]
 
-                def apart(i, j, inside=inside, own=own):
-                    return tops[at[own[inside[i]]]] != tops[at[own[inside[j]]]]
+                def unknown(i, j):
+                    return (tops[i] != tops[j]) & ~(beyond[i] & beyond[j])
 
-                for i, j in tree_pairs(nodes.take(inside), percent, apart):
+                for i, j in tree_pairs(nodes.take(inside), percent, unknown):
                     join(own[inside[i]], own[inside[j]])
-                    tops = groups.tops()
+                    tops = np.array([groups.top(x) for x in mine])
         return pa.table({"u": pa.array([names[x] for x, _ in out], pa.int64()), "v": pa.array([names[y] for _, y in out], pa.int64())})
 
     return forest
@@ -386,6 +390,7 @@ def _test_leaders(percent: int):
     def test(t: pa.Table) -> pa.Table:
         from plumbline.llm.words import unpack48
 
+        caches.only("none")
         node, radius, out = t.column("node").to_numpy(), t.column("radius").to_numpy(), []
         sets = t.column("set")
         for rows in _by_part(t, ["component", "part"]):
@@ -411,6 +416,7 @@ def _test_members(percent: int):
     def test(t: pa.Table) -> pa.Table:
         from plumbline.llm.words import unpack48
 
+        caches.only("none")
         node, label, out = t.column("node").to_numpy(), t.column("label").to_numpy(), []
         sets = t.column("set")
         for rows in _by_part(t, ["component", "lo", "hi"]):
@@ -437,7 +443,7 @@ def _in_parts(rows: DataFrame, test, schema: str, pairs: bool, label: str) -> tu
     cut = sizes.filter("parts > 1")
     total = sizes.agg(F.sum(F.col("bytes") * (F.col("parts") if pairs else F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     tasks = (total["bytes"] or 0) // CHUNK_BYTES + total["n"] // 1000 + 1
-    dealt = rows.join(sizes.drop("bytes"), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = rows.join(hinted(sizes.drop("bytes")), "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     keys = ["component", "part"]
     if pairs:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
@@ -456,8 +462,9 @@ def verify(reach: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     not all are connected yet, nodes that may hold a linked set send all their sets.
     """
     links = None
-    leaders = materialise(docs.filter("lead").join(reach, "node").select("component", "node", "n", "radius", "set"), "near-leaders")
-    left, first_cut, opened = leaders, None, None
+    reach = materialise(reach.select("node", "component"), "near-reach")
+    left = docs.filter("lead").join(hinted(reach), "node").select("component", "node", "n", "radius", "set")
+    first_cut = opened = None
     while True:
         found, cut = _in_parts(left, _test_leaders(percent), "u bigint, v bigint", False, "near-tested")
         opened = found.filter("v IS NULL").select(F.col("u").alias("node")) if opened is None else opened
@@ -478,7 +485,7 @@ def verify(reach: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     open_nodes = labelled.join(apart, "component", "left_semi").join(opened.unionByName(whole).distinct(), "node", "left_semi")
     open_nodes = materialise(open_nodes, "near-open")
     if open_nodes.limit(1).count():
-        sets = materialise(docs.filter("set IS NOT NULL").join(open_nodes, "node").select("component", "node", "label", "n", "set"), "near-sets")
+        sets = docs.filter("set IS NOT NULL").join(hinted(open_nodes), "node").select("component", "node", "label", "n", "set")
         found, _ = _in_parts(sets, _test_members(percent), "u bigint, v bigint", True, "near-members")
         links = links.unionByName(found)
     return links
@@ -503,7 +510,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, "id", "text"))  # 2 * SAMPLE * SAMPLE_CHARS / FREQUENT / 2 numbers at most
+    frequent = spark.sparkContext.broadcast(np.unique(frequent_shingles(rows, "id", "text") >> np.uint64(16)))  # 2 * SAMPLE * SAMPLE_CHARS / FREQUENT / 2 numbers at most
 
     def contract(batches):
         from pyspark import TaskContext
@@ -516,28 +523,44 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 text = text.as_py()
                 w.add(i, shingles(text), len(text))
                 if w.held >= WINDOW_BYTES:
-                    yield w.flush(frequent.value, first)
+                    yield w.flush(first)
                     first += len(w.members)
                     w = _Window(percent)
         if w.docs:
-            yield w.flush(frequent.value, first)
+            yield w.flush(first)
 
     contracted = materialise(rows.mapInArrow(contract, _NODES_SQL), "near-nodes")
     members = contracted.filter("kind = 0").select("id", "n", "node", "lead", "radius", "set")
-    nodes = contracted.filter("kind = 1").select("node", "low", "high", "some", "every", "tokens")
+    nodes = contracted.filter("kind = 1").select("node", "low", "high", "some", "every", "digest")
+    # Nodes of one set, the same in several windows: the first of them stands for all.
+    first_of = nodes.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "v")
+    twins = nodes.select(F.col("node").alias("u"), "digest").join(first_of, "digest").filter("u <> v").select("u", "v")
+    twins = materialise(twins, "near-twins")
+    once = members.filter("set IS NOT NULL").select("node", "set").join(hinted(twins.select(F.col("u").alias("node"))), "node", "left_anti")
+
+    def tokens(batches):
+        from plumbline.llm.words import unpack48
+
+        caches.only("none")
+        for batch in batches:
+            found = [prefix(unpack48(x.as_buffer()), frequent.value, percent) for x in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            found = np.concatenate(found).view(np.int64) if found else owner
+            for a in range(0, len(found), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 16)]), pa.array(owner[a : a + (1 << 16)])], names=["token", "node"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // KEY_BYTES))
-    keys = nodes.select(F.explode("tokens").alias("token"), "node").repartition(parts, "token")
+    keys = once.mapInArrow(tokens, "token bigint, node bigint").repartition(parts, "token")
     blocks = materialise(keys.mapInArrow(_meet, "block bigint, node bigint, size bigint").distinct(), "near-blocks")
     split = blocks.withColumn("parts", F.ceil(F.col("size") / BLOCK_NODES)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     split = split.select("block", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
-    known = split.join(nodes.drop("tokens"), "node")
+    known = split.join(nodes.drop("digest"), "node")
     tasks = max(1, min(blocks.count() // 500 + 1, parts * 4))
     dealt = known.withColumn("bucket", F.pmod(F.xxhash64("block", "lo", "hi"), F.lit(tasks)).cast("int")).repartition(tasks, "bucket")
     reach = components(dealt.groupBy("bucket").applyInArrow(_forest(percent), "u bigint, v bigint"))
 
-    links = verify(reach, members.select("node", "n", "lead", "radius", "set"), percent)
+    links = verify(reach, members.select("node", "n", "lead", "radius", "set"), percent).unionByName(twins)
     label = components(links).withColumnRenamed("component", "label")
     grouped = members.filter("node IS NOT NULL").select("id", "node").join(label, "node", "left").select("id", F.coalesce("label", "node").alias("label")).distinct()
     stars = grouped.join(grouped.groupBy("label").agg(F.min("id").alias("least")), "label").filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
@@ -556,3 +579,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     from plumbline.llm.common import table
 
     return near_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), l AS (
+  SELECT u, v FROM p UNION ALL SELECT v, u FROM p
+), r AS (
+  SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u
+), c AS (
+  SELECT u, least(u, min(v)) AS component_id FROM r GROUP BY u
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.u
+"""

@@ -1,31 +1,22 @@
 """Queries and DuckDB oracles of this subpackage."""
 
-from plumbline.llm import common, exact_dedup, lm, mixing, near_dup, packing, quality, secrets, sharding, token_files, vectors
-
-
-def _shipped(query):
-    """The query, after this package went to the Python workers."""
-
-    def run(spark, sf_dir):
-        common.ship_package(spark)
-        return query(spark, sf_dir)
-
-    return run
-
+from plumbline.llm import exact_dedup, lm, mixing, near_dup, packing, quality, secrets, sharding, token_files, vectors
 
 QUERIES = {
-    "op1_mixing": _shipped(mixing.query),
-    "op2_sharding": _shipped(sharding.query),
-    "op3_near_dup": _shipped(near_dup.query),
-    "op4_lm": _shipped(lm.query),
-    "op5_packing": _shipped(packing.query),
-    "op6_token_files": _shipped(token_files.query),
-    "op7_exact_dedup": _shipped(exact_dedup.query),
-    "op8_secrets": _shipped(secrets.query),
-    "op9_quality": _shipped(quality.query),
-    "op10_vectors": _shipped(vectors.query),
+    "op1_mixing": mixing.query,
+    "op2_sharding": sharding.query,
+    "op3_near_dup": near_dup.query,
+    "op4_lm": lm.query,
+    "op5_packing": packing.query,
+    "op6_token_files": token_files.query,
+    "op7_exact_dedup": exact_dedup.query,
+    "op8_secrets": secrets.query,
+    "op9_quality": quality.query,
+    "op10_vectors": vectors.query,
 }
 
 ORACLE_SQL = {
+    "op3_near_dup": near_dup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_vectors": vectors.ORACLE_SQL,
 }

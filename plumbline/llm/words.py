@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_LIMIT = 400_000
+_LIMIT = 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,6 +54,7 @@ def pack48(h: np.ndarray) -> bytes:
 
 
 def unpack48(data) -> np.ndarray:
+    """What pack48 wrote, as numbers below 2**48."""
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
