@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACES, materialise, text_or_empty
 
-_SHIFT = 2**64
+_SHIFT = 2**65  # more than any id makes
 _TOP = 2**63
 
 
@@ -43,7 +43,9 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each task deduplicates its own rows (partial aggregation by digest, salt and content, where the salt
     is the task's number), salted groups are merged, then the winners of the salts. A group that holds a
     third of all rows reaches a merging task with one row per task at most. Rows then find their group by
-    digest and a second fingerprint; should two contents share both, the rows are matched by content.
+    digest and a second fingerprint, in a join whose large partitions Spark splits; should two contents
+    share both, the rows are matched by content. Which of a group's best rows stays is a minimum over row
+    numbers, which is combined in each task before it is shuffled. So nothing gathers a group's rows.
     Extra columns are ignored; an empty table gives an empty result.
     """
     content = F.translate(text_or_empty(F.col(text_col)), SPACES, "")
@@ -58,31 +60,26 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     merged = salted.groupBy("_digest", "_content").agg(F.sum("_n").alias("_n"), F.max("_rank").alias("_rank"))
     finger, length = F.xxhash64("_content"), F.length("_content")
-    groups = materialise(merged.select("_digest", finger.alias("_finger"), length.alias("_length"), "_n", "_rank"), "copies")
+    number = F.monotonically_increasing_id()
+    groups = materialise(merged.select("_digest", finger.alias("_finger"), length.alias("_length"), "_n", "_rank", number.alias("_group")), "copies")
     rows = rows.withColumn("_finger", finger).withColumn("_length", length)
     keys = ["_digest", "_finger", "_length"]
     if groups.groupBy(*keys).count().filter("count > 1").limit(1).count():
-        keys, groups = ["_digest", "_content"], merged
-    found = rows.select("doc_id", "_chars", "_digest", *[k for k in keys if k != "_digest"]).join(groups.select(*keys, "_n", "_rank"), keys)
+        keys, groups = ["_digest", "_content"], materialise(merged.withColumn("_group", number), "copies")
+    found = rows.select("doc_id", "_chars", *keys).join(groups.select(*keys, "_n", "_rank", "_group"), keys)
     keep_chars, keep_id = _unrank(F.col("_rank"))
     found = found.select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.col("_n").cast("bigint").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep_id) & (F.col("_chars") == keep_chars)).alias("_best"),
-        "_digest",
-        *[k for k in keys if k != "_digest"],
-    )
-    # Only rows equal to the winner in id and length meet; the others are spread by their id.
-    apart = F.when(F.col("_best"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
-    nth = F.row_number().over(Window.partitionBy(*keys, apart).orderBy("doc_id"))
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("_best") & (nth == 1)).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"),
+        "_group",
     )
+    found = materialise(found.withColumn("_row", number), "copy-rows")
+    stays = found.filter("_best").groupBy("_group").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("_stays"))
+    found = found.join(stays, "_row", "left")
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce("_stays", F.lit(False)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
