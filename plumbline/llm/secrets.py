@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from re import _constants as C
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import ship_package, text_or_empty
 
 #: Rules: kind, regex, the group whose length counts, its least length. The first BASE ones are the base kinds.
 RULES = (
@@ -42,37 +40,98 @@ def _of_strings(strings: set[str]):
     return _join("any", [_join("all", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _walk(items) -> tuple[set[str] | None, object]:
-    """The exact set of strings that a parsed regex matches, lower-cased, if it is small; else a query that its texts meet."""
-    known: set[str] | None = {""}
+def _one(p: str, i: int) -> tuple[str | None, int]:
+    """The character that stands at i of a pattern, escaped or not, and where it ends; None for a class such as \\d."""
+    if p[i] != "\\":
+        return p[i], i + 1
+    if p[i + 1] == "x":
+        return chr(int(p[i + 2 : i + 4], 16)), i + 4
+    return (None if p[i + 1].isalnum() else p[i + 1]), i + 2
+
+
+def parse(p: str, i: int = 0) -> tuple[list[list], int]:
+    """Alternatives of a regex from i to its end or closing bracket, each a list of items.
+
+    Items are ("chars", set of characters, or None for too many to tell), ("any", alternatives) and
+    ("repeat", least, most or None, item). Of groups, plain and (?:...) ones are known; others are refused.
+    """
+    out: list[list] = [[]]
+    while i < len(p) and p[i] != ")":
+        if p[i] == "|":
+            out.append([])
+            i += 1
+            continue
+        if p[i] == "(":
+            i += 3 if p.startswith("(?:", i) else 1
+            if p[i] == "?":
+                raise ValueError(f"unknown group in {p!r}")
+            inner, i = parse(p, i)
+            item: tuple = ("any", inner)
+            i += 1
+        elif p[i] == "[":
+            chars: set[str] | None = set()
+            i += 1
+            if p[i] == "^":
+                raise ValueError(f"negated class in {p!r}")
+            while p[i] != "]":
+                c, i = _one(p, i)
+                if c is not None and p[i] == "-" and p[i + 1] != "]":
+                    end, i = _one(p, i + 1)
+                    if chars is not None:
+                        chars |= {chr(k) for k in range(ord(c), ord(end) + 1)}
+                elif c is None:
+                    chars = None
+                elif chars is not None:
+                    chars.add(c)
+            item = ("chars", chars)
+            i += 1
+        elif p[i] in ".^$":
+            item = ("chars", None) if p[i] == "." else ("any", [[]])
+            i += 1
+        else:
+            c, i = _one(p, i)
+            item = ("chars", None if c is None else {c})
+        if i < len(p) and p[i] in "?*+{":
+            if p[i] == "{":
+                low, _, high = p[i + 1 : p.index("}", i)].partition(",")
+                least, most = int(low), int(high or low) if high or "," not in p[i : p.index("}", i)] else None
+                i = p.index("}", i) + 1
+            else:
+                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[p[i]]
+                i += 1
+            item = ("repeat", least, most, item)
+        out[-1].append(item)
+    return out, i
+
+
+def _any(alternatives: list[list]) -> tuple[set[str] | None, object]:
+    parts = [_walk(a) for a in alternatives]
+    if all(e is not None for e, _ in parts):
+        return set().union(*(e for e, _ in parts)), None
+    return None, _join("any", [_of_strings(e) if e is not None else q for e, q in parts])
+
+
+def _walk(items: list) -> tuple[set[str] | None, object]:
+    """The exact set of strings that items match, lower-cased, if it is small; else a query that its texts meet."""
+    known: set[str] = {""}
     needed: list = []
 
     def end() -> None:
-        nonlocal known
-        if known is not None and known != {""}:
+        if known != {""}:
             needed.append(_of_strings(known))
-        known = None
 
     whole = True
-    for op, arg in items:
+    for kind, *arg in items:
         exact, query = None, None
-        if op is C.LITERAL:
-            exact = {chr(arg).lower()}
-        elif op is C.IN and not any(o is C.NEGATE or o is C.CATEGORY for o, _ in arg):
-            chars = {chr(c).lower() for o, a in arg for c in ([a] if o is C.LITERAL else range(a[0], a[1] + 1))}
-            exact = chars if len(chars) <= 8 else None
-        elif op is C.SUBPATTERN:
-            exact, query = _walk(arg[3])
-        elif op is C.BRANCH:
-            parts = [_walk(a) for a in arg[1]]
-            if all(e is not None for e, _ in parts):
-                exact = set().union(*(e for e, _ in parts))
-            else:
-                query = _join("any", [_of_strings(e) if e is not None else q for e, q in parts])
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        if kind == "chars":
+            exact = {c.lower() for c in arg[0]} if arg[0] is not None else None
+            exact = exact if exact is not None and len(exact) <= 8 else None
+        elif kind == "any":
+            exact, query = _any(arg[0])
+        else:
             low, high, inner = arg
-            e, q = _walk(inner)
-            if e is not None and high != C.MAXREPEAT and high <= 2:
+            e, q = _walk([inner])
+            if e is not None and high is not None and high <= 2:
                 exact, power = set(), {""}
                 for k in range(high + 1):
                     if k >= low:
@@ -80,9 +139,7 @@ def _walk(items) -> tuple[set[str] | None, object]:
                     power = {a + b for a in power for b in e}
             elif low:
                 query = _of_strings(e) if e is not None else q
-        elif op is C.AT:
-            exact = {""}
-        joined = {a + b for a in known for b in exact} if known is not None and exact is not None else None
+        joined = {a + b for a in known for b in exact} if exact is not None else None
         if joined is not None and len(joined) <= MOST:
             known = joined
             continue
@@ -98,7 +155,7 @@ def _walk(items) -> tuple[set[str] | None, object]:
 
 def trigram_query(pattern: str):
     """The Boolean trigram query of a regex over lower-cased text; None if it has no mandatory trigrams."""
-    exact, query = _walk(_parser.parse(pattern))
+    exact, query = _any(parse(pattern)[0])
     return _of_strings(exact) if exact is not None else query
 
 
@@ -164,6 +221,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mandatory trigram and scans every text. Whole texts are scanned; null and empty ones have no spans.
     Spans are in code points, end exclusive, of the rule's whole match.
     """
+    ship_package(docs.sparkSession)
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([StructField("doc_id", LongType()), *(StructField(f"n_{RULES[k][0]}", LongType()) for k in range(BASE)), StructField("base_sha256", StringType()), StructField("spans", StringType())])
