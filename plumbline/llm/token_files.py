@@ -7,14 +7,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import input_bytes, scratch_path, text_or_empty
+from plumbline.llm.common import hinted, input_bytes, materialise, scratch_path, ship_package, text_or_empty
 
 MAGIC = b"PLTOK1\0\0"
 #: magic, documents, ids, bytes of an id, low bits, bytes of: doc ids, low part, high part, select samples.
 HEADER = struct.Struct("<8sQQBB6xQQQQ")
+RUN = 4096  # parts whose files' places are summed up together
 SAMPLE = 256  # every so many-th one of the high part has its position stored
 
 
@@ -53,10 +54,9 @@ class EliasFano:
         for _ in range(i - seen):
             bits &= bits - 1
         place = (byte << 3) + (bits & -bits).bit_length() - 1
-        low, start = 0, i * self.low_bits
-        for k in range(self.low_bits):
-            low |= (int(self.low[(start + k) >> 3]) >> ((start + k) & 7) & 1) << k
-        return (place - i) << self.low_bits | low
+        start = i * self.low_bits
+        low = int.from_bytes(self.low[start >> 3 : (start + self.low_bits + 7) >> 3].tobytes(), "little") >> (start & 7)
+        return (place - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
     def decode(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
@@ -103,12 +103,15 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 12 << 20) -> None:
-    """Write every text's ids and an end id in files part-NNNNNN.tok under path, in ascending id order over all files.
+    """Write every text's ids and an end id in files part-P-K.tok under path, in ascending id order over all files.
 
     A range partition (by id, then a hash of the text for equal ids; null ids first) becomes a file or,
     above file_bytes of text, several. A file is written under a task's own name and then renamed, so a
-    retried task or a lost executor leaves one whole file. path is a folder that all executors see.
+    retried task or a lost executor leaves one whole file. Files are ordered by the numbers P and K; the
+    table _index beside them has each one's name, P, K, documents, ids and the ids of all files before it,
+    so that no file is opened for its place. path is a folder that all executors see.
     """
+    ship_package(docs.sparkSession)
     n, size = docs.count(), input_bytes(docs)
     rows = docs.select(F.col(id_col).cast("bigint").alias("i"), text_or_empty(F.col(text_col)).alias("t")).withColumn("h", F.xxhash64("t"))
     parts = max(1, -(-size // file_bytes))
@@ -125,11 +128,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         dtype = enc.dtype if end_id < 1 << (8 * enc.dtype.itemsize) else np.dtype("<u4")
         files, root = pafs.FileSystem.from_uri(path)
-        ids, found, held, k, done = [], [], 0, 0, 0
+        ids, found, held, k = [], [], 0, 0
+        index: list[tuple] = []
 
         def flush() -> None:
             nonlocal ids, found, held, k
-            name = f"{root}/part-{part:06d}-{k:06d}.tok"
+            index.append((f"part-{part}-{k}.tok", part, k, len(ids), sum(map(len, found))))
+            name = f"{root}/{index[-1][0]}"
             files.create_dir(root, recursive=True)
             with files.open_output_stream(own := f"{root}/_{uuid.uuid4().hex}") as out:
                 out.write(dump(ids, found, dtype))
@@ -142,20 +147,32 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 ids.append(i)
                 found.append(np.append(enc.encode(text).astype(dtype, copy=False), np.array([end_id], dtype)))
                 held += len(text)
-                done += 1
                 if held >= 2 * file_bytes:
                     flush()
         if ids:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
-
-    written = ordered.mapInArrow(write, "done bigint").agg(F.sum("done")).first()[0] or 0
-    if written != n:
-        raise RuntimeError(f"{written} of {n} documents written")
+        if index:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["name", "part", "k", "documents", "n"])
+
+    written = materialise(ordered.mapInArrow(write, "name string, part bigint, k bigint, documents bigint, n bigint"), "token-index")
+    # Sums of runs of parts, then of the files within a run: no task sees the index of all files.
+    run = F.floor(F.col("part") / RUN)
+    runs = written.groupBy(run.alias("run")).agg(F.sum("n").alias("of_run"))
+    runs = runs.select("run", F.coalesce(F.sum("of_run").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("of_runs"))
+    within = Window.partitionBy("run").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = written.withColumn("run", run).withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(runs, "run")
+    placed.select("name", "part", "k", "documents", "n", (F.col("of_runs") + F.col("within")).alias("before")).write.mode("overwrite").parquet(f"{path}/_index")
+    done = written.agg(F.sum("documents")).first()[0] or 0
+    if done != n:
+        raise RuntimeError(f"{done} of {n} documents written")
 
 
 def read_token_files(spark, path: str) -> DataFrame:
-    """A row for each document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    """A row for each document of the files: doc_id, start (ids before it in all files), n_tokens, ids_crc32.
+
+    Each document's place in its file comes from the select structure of the file's boundaries.
+    """
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tok").load(path)
     schema = "name string, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -163,7 +180,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = TokenFile(memoryview(data.as_buffer()))
-                ends = f.ends.decode().astype(np.int64)
+                ends = np.fromiter(map(f.ends.select, range(f.n)), np.int64, f.n)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if f.n else ends
                 crcs = [zlib.crc32(f.ids[a:b].astype("<u4")) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -171,19 +188,9 @@ def read_token_files(spark, path: str) -> DataFrame:
                     names=["name", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    from pyspark.sql import Window
-
     rows = files.select("path", "content").mapInArrow(read, schema)
-
-    def totals(batches):
-        for batch in batches:
-            heads = [TokenFile(memoryview(d.as_buffer())).n_ids for d in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([n.rpartition("/")[2] for n in batch.column(0).to_pylist()], pa.string()), pa.array(heads, pa.int64())], names=["file", "n"])
-
-    sums = files.select("path", "content").mapInArrow(totals, "file string, n bigint")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(sums, rows["name"] == sums["file"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    index = spark.read.schema("name string, before bigint").parquet(f"{path}/_index")
+    return rows.join(hinted(index), "name").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
