@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import caches
-from plumbline.llm.common import id_fold, text_or_empty
+from plumbline.llm.common import id_fold, ship_package, text_or_empty
 
 DIMS = 1 << 20
 #: Labelled rows that the classifier is fitted on, at most: those first by a hash of the id.
@@ -47,8 +47,8 @@ def _mix(*parts: np.ndarray, tag: int) -> np.ndarray:
     return (h >> np.uint64(12)) % np.uint64(DIMS - 1) + np.uint64(1)
 
 
-def features(text: str) -> np.ndarray:
-    """Indicators of a text, as sorted numbers below DIMS; 0 is in every text.
+def terms(text: str) -> np.ndarray:
+    """Indicators of a text, as numbers below DIMS, some more than once; 0 is in every text.
 
     They are n-grams: words and pairs of words, lower-cased; shapes (runs of capitals, small letters,
     digits and each sign) of one, two and three words, a word longer than PIECE counting as its pieces; and whether a word repeats the one before, or the
@@ -71,7 +71,29 @@ def features(text: str) -> np.ndarray:
         out += [_mix(s[:-1], s[1:], tag=4)]
     if len(s) > 2:
         out += [_mix(s[:-2], s[1:-1], s[2:], tag=5)]
-    return np.unique(np.concatenate(out)).astype(np.uint32)
+    return np.concatenate(out).astype(np.uint32)
+
+
+def features(text: str) -> np.ndarray:
+    """The distinct indicators of a text, sorted."""
+    return np.unique(terms(text))
+
+
+def descend(rows, x, sign: np.ndarray, train: np.ndarray, cost: float, epochs: int, random) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and dual variables of the hinge loss by dual coordinate descent; rows x are of length 1, so the diagonal is 1."""
+    w, alpha = np.zeros(DIMS), np.zeros(len(sign))
+    for _ in range(epochs):
+        moved = 0.0
+        for i in random.permutation(train):
+            gradient = sign[i] * (w[rows[i]] @ x[i]) - 1
+            new = min(max(alpha[i] - gradient, 0.0), cost)
+            if new != alpha[i]:
+                w[rows[i]] += (new - alpha[i]) * sign[i] * x[i]
+                moved = max(moved, abs(new - alpha[i]))
+                alpha[i] = new
+        if moved < 1e-3:
+            break
+    return w, alpha
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int = 8, keep: float = 0.25, seed: int = 3) -> np.ndarray:
@@ -94,21 +116,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: int =
         counts[sign[i]][rows[i]] += 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
     ratio[0] = 1.0
-    # Dual coordinate descent for the hinge loss; rows are scaled to length 1, so the diagonal is 1.
     x = {i: ratio[rows[i]] for i in train}
     x = {i: v / max(np.sqrt(v @ v), 1e-12) for i, v in x.items()}
-    w, alpha, random = np.zeros(DIMS), np.zeros(len(y)), np.random.default_rng(seed)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in random.permutation(train):
-            gradient = sign[i] * (w[rows[i]] @ x[i]) - 1
-            new = min(max(alpha[i] - gradient, 0.0), cost)
-            if new != alpha[i]:
-                w[rows[i]] += (new - alpha[i]) * sign[i] * x[i]
-                moved = max(moved, abs(new - alpha[i]))
-                alpha[i] = new
-        if moved < 1e-3:
-            break
+    w, _ = descend(rows, x, sign, train, cost, epochs, np.random.default_rng(seed))
+    w[np.abs(w) < 1e-9] = 0.0  # what rounding leaves of zeros has no sign
     w = (1 - keep) * w + keep * np.abs(w).sum() / max(1, np.count_nonzero(w)) * np.sign(w)
     weights[:DIMS] = w * ratio
     norms = np.abs(ratio)
@@ -143,15 +154,29 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def score_text(model: np.ndarray, text: str) -> float:
-    z = model[DIMS + 1]
-    if len(model) > DIMS + 2:
-        z = model[DIMS] * margin(model, model[DIMS + 2 :], features(text)) + z
-    return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+class Scorer:
+    """Scores of texts by one model. A place for each feature tells the first of its repeats, so none is sorted."""
+
+    def __init__(self, model: np.ndarray):
+        self.weights, self.norms, self.slope, self.offset = model[:DIMS], None, model[DIMS], model[DIMS + 1]
+        if len(model) > DIMS + 2:
+            self.norms = model[DIMS + 2 :] ** 2
+        self.last = np.zeros(DIMS, np.int32)
+
+    def __call__(self, text: str) -> float:
+        z = self.offset
+        if self.norms is not None:
+            row = terms(text)
+            order = np.arange(len(row), dtype=np.int32)
+            self.last[row] = order
+            row = row[self.last[row] == order]
+            z += self.slope * self.weights[row].sum() / max(np.sqrt(self.norms[row].sum()), 1e-12)
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> np.ndarray:
     """The model of SAMPLE labelled rows at most, whose fold is not 0, fitted in one task of that bounded size."""
+    ship_package(docs.sparkSession)
     labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (id_fold(F.col("_id"), 5) != 0))
     chosen = labelled.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(F.col(text_col)).alias("_t")).join(F.broadcast(chosen), "_id")  # at most `sample` rows of two numbers
@@ -186,9 +211,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def score(batches):
         caches.only("quality")
-        m = model.value.astype(np.float64)
+        score_text = Scorer(model.value.astype(np.float64))
         for batch in batches:
-            scores = pa.array([score_text(m, t.as_py()) for t in batch.column(2)], pa.float64())
+            scores = pa.array([score_text(t.as_py()) for t in batch.column(2)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), scores], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint"), (id_fold(F.col(id_col), 5) == 0), text_or_empty(F.col(text_col)))
@@ -203,9 +228,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def keep(batches):
         caches.only("quality")
-        m = model.value.astype(np.float64)
+        score_text = Scorer(model.value.astype(np.float64))
         for batch in batches:
-            yield batch.filter(pa.array([score_text(m, t.as_py() or "") >= REJECT for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([score_text(t.as_py() or "") >= REJECT for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
