@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, text_or_empty
+from plumbline.llm.common import materialise, ship_package, text_or_empty
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+#: Wastes of a filling that descents allow, and nodes of the search beyond them.
+WASTES = (0, 1, 2, 3, 4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256)
+NODES = 2000
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document of n ids: whole if it fits, else full pieces after a shorter first one."""
     if n <= capacity:
@@ -23,72 +27,116 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n], strict=True)]
 
 
-def best_filling(room: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
-    """The filling of room with pieces of the given lengths (sorted up, counts available) that wastes least.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """A number of sequences below which no packing exists: for each k, pieces above capacity - k have a
+    sequence each, those above half the capacity one each, and the room left in these can take of the pieces
+    from k to half only so much (Martello and Toth)."""
+    lengths = sorted(counts)
+    of = lambda low, high, weight: sum((x if weight else 1) * counts[x] for x in lengths if low < x <= high)
+    best = -(-of(0, capacity, True) // capacity)
+    for k in {0, *(x for x in lengths if 2 * x <= capacity)}:
+        alone, half = of(capacity - k, capacity, False), of(capacity // 2, capacity - k, False)
+        room = half * capacity - of(capacity // 2, capacity - k, True)
+        best = max(best, alone + half + max(0, -(-(of(k - 1, capacity // 2, True) - room) // capacity)))
+    return best
+
+
+def filling(room: int, counts: dict[int, int], waste: int) -> list[int]:
+    """The filling of room with available pieces that takes the longest pieces first and wastes no more than
+    waste, or than the least that is possible.
 
-    Best-fit decreasing is tried first. Where it wastes room, branches take lengths in descending order,
-    each as often as it goes, and one ends unless the shorter lengths can fill the rest exactly: the sums
-    that they reach, a bit for each, say so, so no branch is taken back. Among equal waste the filling
-    with the longest pieces is taken: it dominates those that fill the same room with shorter ones, which
-    fit elsewhere more easily.
+    It is not dominated within that waste: no other such filling has its pieces in longer ones. The sums
+    that shorter lengths reach, a bit for each, say which branch leads to a filling, so none is taken back.
     """
-    best: list[int] = []
-    left, used = room, {}
-    while True:
-        i = bisect_left(lengths, left + 1) - 1
-        while i >= 0 and used.get(lengths[i], 0) >= counts[lengths[i]]:
-            i -= 1
-        if i < 0:
-            break
-        best.append(lengths[i])
-        used[lengths[i]] = used.get(lengths[i], 0) + 1
-        left -= lengths[i]
-    if left == 0:
-        return best
+    lengths = sorted(x for x in counts if x <= room)
     whole, reach = (1 << (room + 1)) - 1, [1]
-    for x in lengths[: bisect_left(lengths, room + 1)]:
+    for x in lengths:
         sums, n, step = reach[-1], min(counts[x], room // x), 1
-        while n:
+        while n > 0:
             step = min(step, n)
             sums |= (sums << (step * x)) & whole
             n -= step
             step *= 2
         reach.append(sums)
-    left, best = reach[-1].bit_length() - 1, []
-    for i in range(len(reach) - 2, -1, -1):
-        x = lengths[i]
-        n = next(n for n in range(min(counts[x], left // x), -1, -1) if reach[i] >> (left - n * x) & 1)
-        best += [x] * n
+    allowed = max(waste, room - (reach[-1].bit_length() - 1))
+    out, left = [], room
+    for i in range(len(lengths) - 1, -1, -1):
+        x, n = lengths[i], min(counts[lengths[i]], left // lengths[i])
+        while n > 0:
+            low = max(0, left - n * x - allowed)
+            if reach[i] >> low & ((1 << (left - n * x - low + 1)) - 1):
+                break
+            n -= 1
+        out += [x] * n
         left -= n * x
-    return best
+    return out
+
+
+def _take(left: dict[int, int], pattern: tuple[int, ...]) -> tuple[dict[int, int], int]:
+    """What is left after a pattern is repeated as often as its pieces last, and how often that is."""
+    need = {x: pattern.count(x) for x in pattern}
+    times = min(left[x] // n for x, n in need.items())
+    return {x: n - times * need.get(x, 0) for x, n in left.items() if n > times * need.get(x, 0)}, times
+
+
+def _fillings(left: dict[int, int], capacity: int, wastes) -> list[tuple[int, ...]]:
+    """Fillings around the longest piece, one for each waste that is allowed, without repeats."""
+    largest = max(left)
+    rest = {x: n - (x == largest) for x, n in left.items() if n > (x == largest)}
+    return list(dict.fromkeys((largest, *filling(capacity - largest, rest, w)) for w in wastes))
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (piece lengths, longest first) with how many sequences have them, for all pieces.
 
-    Each pattern completes the longest piece that remains, and is repeated as often as its pieces last,
-    so that every step uses up at least one length: there are at most as many patterns as lengths. Each
-    filling wastes least of what is left, but fillings are not taken back, so there can be more sequences
-    than the fewest possible.
+    Bin completion: a node of the search completes the longest piece that remains, with an undominated
+    filling for each waste allowed, and repeats the pattern as often as its pieces last, so that every step
+    uses up a length: the work does not grow with the number of pieces. Descents with one allowed waste
+    give the incumbents, the first of them, with none, best-fit ones; then a depth-first search branches
+    over the fillings. A node is pruned when its waste leaves no way to beat the incumbent, and the search
+    ends when the incumbent meets lower_bound(). NODES bounds the depth-first search, which only decides
+    how close to the bound the packing comes: all pieces are always placed.
     """
-    left = {k: v for k, v in counts.items() if v > 0}
-    out = []
-    while left:
-        lengths = sorted(left)
-        largest = lengths[-1]
-        rest = dict(left)
-        rest[largest] -= 1
-        if not rest[largest]:
-            del rest[largest]
-        pattern = (largest, *best_filling(capacity - largest, sorted(rest), rest))
-        need = {x: pattern.count(x) for x in set(pattern)}
-        times = min(left[x] // n for x, n in need.items())
-        out.append((pattern, times))
-        for x, n in need.items():
-            left[x] -= times * n
-            if not left[x]:
-                del left[x]
-    return out
+    start = {k: v for k, v in counts.items() if v > 0}
+    if not start:
+        return []
+    bound, total = lower_bound(start, capacity), sum(k * v for k, v in start.items())
+    best: list[tuple[tuple[int, ...], int]] = []
+    fewest, best_waste = total + 1, 0  # a sequence holds a piece or more
+
+    def wasted(pattern, times) -> int:
+        return times * (capacity - sum(pattern))
+
+    for allowed in WASTES:
+        left, out, waste = start, [], 0
+        while left and total + waste <= (fewest - 1) * capacity:
+            pattern = _fillings(left, capacity, [allowed])[0]
+            left, times = _take(left, pattern)
+            out.append((pattern, times))
+            waste += wasted(pattern, times)
+        if not left and sum(n for _, n in out) < fewest:
+            best, fewest, best_waste = out, sum(n for _, n in out), allowed
+        if fewest == bound:
+            return best
+    wastes = [best_waste, *(w for w in WASTES if w != best_waste)]
+    stack = [(start, (), 0)]
+    for _ in range(NODES):
+        if not stack or fewest == bound:
+            break
+        left, path, waste = stack.pop()
+        if total + waste > (fewest - 1) * capacity:
+            continue
+        if not left:
+            out = []
+            while path:
+                path, pattern, times = path
+                out.append((pattern, times))
+            best, fewest = out[::-1], sum(n for _, n in out)
+            continue
+        for pattern in reversed(_fillings(left, capacity, wastes)):
+            rest, times = _take(left, pattern)
+            stack.append((rest, (path, pattern, times), waste + wasted(pattern, times)))
+    return best
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -134,6 +182,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     ids are separate documents; empty and null texts are one end id; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     pieces = materialise(tokenised_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(pack_histogram(counts, capacity)))

@@ -48,27 +48,44 @@ def optimum(items, capacity):
 
 
 def test_histogram_packing_is_close_to_the_optimum():
-    rng = random.Random(2)
-    for _ in range(40):
+    rng, above = random.Random(2), 0
+    for _ in range(60):
         items = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
         counts = {x: items.count(x) for x in set(items)}
         packed = packing.pack_histogram(counts, 20)
         placed = [x for p, n in packed for x in p * n]
         assert sorted(placed) == sorted(items) and all(sum(p) <= 20 for p, _ in packed)
-        assert sum(n for _, n in packed) <= optimum(items, 20) + 1
+        least, used = optimum(items, 20), sum(n for _, n in packed)
+        assert packing.lower_bound(counts, 20) <= least <= used <= least + 1
+        above += used > least
+    assert above <= 1
+
+
+def test_packing_of_many_lengths_meets_the_bound():
+    rng = random.Random(3)
+    counts: dict[int, int] = {}
+    for _ in range(1500):
+        x = 1024 if rng.random() < 0.33 else min(1023, int(rng.expovariate(1 / 300)) + 1)
+        counts[x] = counts.get(x, 0) + 1
+    for times in (1, 1000):
+        many = {x: n * times for x, n in counts.items()}
+        used = sum(n for _, n in packing.pack_histogram(many, 1024))
+        assert used <= 1.001 * packing.lower_bound(many, 1024) + 1
 
 
-def test_filling_is_the_fullest():
+def test_filling_is_the_fullest_or_within_the_waste():
     lengths = [256, *range(448, 512)]
-    assert packing.best_filling(512, lengths, {x: 2 if x == 256 else 1 for x in lengths}) == [256, 256]
+    assert packing.filling(512, {x: 2 if x == 256 else 1 for x in lengths}, 0) == [256, 256]
+    assert packing.filling(512, {x: 2 if x == 256 else 1 for x in lengths}, 1) == [511]
     rng = random.Random(5)
     for _ in range(60):
         counts = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 7))}
-        room, sums = rng.randint(1, 90), {0}
+        room, waste, sums = rng.randint(1, 90), rng.randint(0, 9), {0}
         for x, n in counts.items():
             sums = {s + k * x for s in sums for k in range(n + 1)}
-        filling = packing.best_filling(room, sorted(counts), counts)
-        assert sum(filling) == max(s for s in sums if s <= room) and all(filling.count(x) <= counts[x] for x in filling)
+        least = room - max(s for s in sums if s <= room)
+        filling = packing.filling(room, counts, waste)
+        assert least <= room - sum(filling) <= max(least, waste) and all(filling.count(x) <= counts[x] for x in filling)
 
 
 def test_pack(spark):
@@ -127,3 +144,16 @@ def test_write_and_read(spark, tmp_path):
     ids = [r["doc_id"] for r in rows]
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
     assert len(list((tmp_path / "tok").glob("*.tok"))) > 1
+
+
+def test_files_are_ordered_by_number(spark, tmp_path, monkeypatch):
+    """Starts follow the numbers of parts, however many digits they have."""
+    path, place = public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/tok"
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(60)], "doc_id bigint, text string")
+    monkeypatch.setattr(token_files, "RUN", 3)
+    monkeypatch.setattr(token_files, "input_bytes", lambda df: 12)
+    token_files.write_token_files(docs, place, path, file_bytes=1)
+    assert (tmp_path / "tok" / "part-10-0.tok").exists()
+    rows = sorted(token_files.read_token_files(spark, place).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == list(range(60))
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(rows, rows[1:]))
