@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, materialise, text_or_empty
+from plumbline.llm.common import WORD, discard, materialise, text_or_empty
 
 #: Blocks of each source, and the finer pieces in which a source's boundary is found.
 BLOCKS, PIECES = 64, 1024
+CHUNK = 256  # sources whose quotas are in one row
 MOST = 3  # times its own size that a source or document is taken
 
 
@@ -51,29 +52,43 @@ def _hypergeometric(pop: str, good: str, draws: str, u: str) -> str:
               struct(s.below + v AS below, s.n + if(s.below + v < {u} * aggregate(w, 0D, (a, z) -> a + z), 1L, 0L) AS n)).n))[0])[0])[0]))[0]"""
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def _chain(items: str, draws: str, *keys: str) -> str:
+    """SQL for how many of draws fall on each of items (key, quota), one univariate draw after the other."""
+    take = _hypergeometric("s.pop", "x.quota", "s.draws", _uniform(*keys, "x.key"))
+    return f"""aggregate({items}, struct(aggregate({items}, 0L, (a, x) -> a + x.quota) AS pop, {draws} AS draws, cast(array() AS array<bigint>) AS out),
+      (s, x) -> transform(array({take}), t -> struct(s.pop - x.quota AS pop, s.draws - t AS draws, concat(s.out, array(t)) AS out))[0]).out"""
+
+
+def split_quotas(quotas: DataFrame, shards: int, seed: int, chunk: int = CHUNK) -> DataFrame:
     """Exact block quotas of each source in each shard: rows (rank, shard, n), n > 0.
 
     quotas: (rank, quota). The root of a binary tree over the shards holds all quotas. Each node gives
     its left half so many blocks as its share of the shards, and draws how many come from each source
-    from the multivariate hypergeometric distribution, as a chain of univariate draws over the sources;
-    the right half gets the rest. Leaves are shards, and every source's leaves add up to its quota.
-    A node holds one number per source.
+    from the multivariate hypergeometric distribution: first how many come from each chunk of sources, then
+    how many of a chunk's come from each source in it, each as a chain of univariate draws; the right half
+    gets the rest. Leaves are shards, and every source's leaves add up to its quota. A row holds a number
+    for each source of one chunk, or one for each chunk.
     """
-    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("quota").cast("bigint").alias("quota")))).alias("q"))
-    nodes = nodes.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "q")
+    items = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("key"), F.col("quota").cast("bigint").alias("quota"))))
+    nodes = quotas.groupBy(F.floor(F.col("rank") / chunk).alias("chunk")).agg(items.alias("q")).select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "chunk", "q")
+    total = "aggregate({}, 0L, (a, x) -> a + x.quota)"
+    written = None
     for depth in range((shards - 1).bit_length()):
-        total = "aggregate(q, 0L, (a, x) -> a + x.quota)"
-        take = _hypergeometric("s.pop", "x.quota", "s.draws", _uniform(f"{seed}L", str(depth), "first", "x.rank"))
-        fold = f"""aggregate(q, struct({total} AS pop, cast(round({total} * (n div 2) / n) AS bigint) AS draws, cast(array() AS array<bigint>) AS out),
-          (s, x) -> transform(array({take}), t -> struct(s.pop - x.quota AS pop, s.draws - t AS draws, concat(s.out, array(t)) AS out))[0]).out"""
-        nodes = nodes.selectExpr("first", "n", "q", f"if(n < 2, transform(q, x -> x.quota), {fold}) AS t")
+        nodes = materialise(nodes, "mix-nodes")
+        if written is not None:
+            discard(written)
+        written = nodes
+        chunks = nodes.selectExpr("first", "n", "chunk AS key", f"{total.format('q')} AS quota").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct("key", "quota"))).alias("c"))
+        draws = f"cast(round({total.format('c')} * if(n < 2, 1, n div 2) / n) AS bigint)"
+        chunks = chunks.selectExpr("first", "c", f"{_chain('c', draws, f'{seed}L', str(depth), 'first', '-1L')} AS t")
+        chunks = chunks.selectExpr("first", "inline(transform(c, (x, i) -> struct(x.key AS chunk, t[i] AS draws)))")
+        nodes = nodes.join(chunks, ["first", "chunk"]).selectExpr("first", "n", "chunk", "q", f"if(n < 2, transform(q, x -> x.quota), {_chain('q', 'draws', f'{seed}L', str(depth), 'first')}) AS t")
         nodes = nodes.selectExpr(
             """inline(filter(array(
-              struct(first AS first, if(n < 2, n, cast(n div 2 AS int)) AS n, transform(q, (x, i) -> struct(x.rank AS rank, t[i] AS quota)) AS q),
-              struct(cast(first + n div 2 AS int) AS first, if(n < 2, 0, cast(n - n div 2 AS int)) AS n, transform(q, (x, i) -> struct(x.rank AS rank, x.quota - t[i] AS quota)) AS q)), x -> x.n > 0))"""
+              struct(first AS first, if(n < 2, n, cast(n div 2 AS int)) AS n, chunk, transform(q, (x, i) -> struct(x.key AS key, t[i] AS quota)) AS q),
+              struct(cast(first + n div 2 AS int) AS first, if(n < 2, 0, cast(n - n div 2 AS int)) AS n, chunk, transform(q, (x, i) -> struct(x.key AS key, x.quota - t[i] AS quota)) AS q)), x -> x.n > 0))"""
         )
-    return nodes.selectExpr("first AS shard", "inline(q)").selectExpr("rank", "shard", "quota AS n").filter("n > 0")
+    return nodes.selectExpr("first AS shard", "inline(q)").selectExpr("cast(key AS int) AS rank", "shard", "quota AS n").filter("n > 0")
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, weights: int = 3, seed: int = 17) -> DataFrame:
@@ -86,10 +101,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     as the splitting tree gives it, so no block is drawn twice. A hash with a fixed seed makes all choices:
     reruns agree. Null texts are empty, a null source is a source, empty tables give empty results; a
     source with words in no document has target 0. Sources are spread over BLOCKS * PIECES keys, so a
-    source with a third of all rows is no hot key. There is one row in memory per source and shard.
+    source with a third of all rows is no hot key. Sources are ranked in one task, a row for each.
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col), text_or_empty(F.col(text_col)))
-    rows = docs.withColumns({"size": n_words(F.col(text_col)), "_src": F.col(source_col), "_hash": key})
+    # The table's own columns go by number, so that none of them clashes with what is added.
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], n_words(F.col(text_col)).alias("size"), F.col(source_col).alias("_src"), key.alias("_hash"))
     rows = rows.withColumn("_block", F.pmod(F.shiftright("_hash", 20), F.lit(BLOCKS)).cast("int")).withColumn("_piece", F.pmod("_hash", F.lit(PIECES)).cast("int"))
     pieces = materialise(rows.groupBy("_src", "_block", "_piece").agg(F.sum("size").alias("_words")), "mix-pieces")
     targets = source_targets(pieces.groupBy(F.col("_src").alias("source")).agg(F.sum("_words").alias("source_size")), weights)
@@ -113,7 +130,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     drawn = drawn.groupBy("rank", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_pass").alias("pass"), "shard"))).alias("_draws"))
     where = materialise(pieces.join(drawn, ["rank", "_block"], "left").select("_src", "_block", "_piece", "_before", "_passes", "_rest", "source_size", "target", "_draws"), "mix-plan")
 
-    within = Window.partitionBy("_src", "_block", "_piece").orderBy("_hash", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_src", "_block", "_piece").orderBy("_hash", own[id_col]).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     at = where.withColumnsRenamed({"_src": "_s", "_block": "_b", "_piece": "_p"})
     rows = rows.join(at, rows["_src"].eqNullSafe(at["_s"]) & (rows["_block"] == at["_b"]) & (rows["_piece"] == at["_p"]))
@@ -122,7 +139,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     draws = F.filter(F.coalesce("_draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("_passes")) | (F.col("_cut") > 0)))
     added = {"size", "source_size", "target", "taken", "draws", "cut", "mix_hash"}
     return rows.select(
-        *[c for c in docs.columns if c not in added],
+        *[F.col(n).alias(c) for c, n in own.items() if c not in added],
         "size",
         "source_size",
         "target",

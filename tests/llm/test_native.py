@@ -77,6 +77,23 @@ def test_capacity_is_the_smallest_feasible(spark):
         assert row["capacity"] == want and len(row["cuts"]) < shards
 
 
+def test_shards_are_minimal_over_groups_of_texts(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    texts = [f"t{i} " + "x" * rng.choice([3, 40, 40, 900]) for i in range(400)]
+    df = spark.createDataFrame([(i, rng.choice(texts[:120]) if i % 3 == 0 else texts[i % 400]) for i in range(900)], "doc_id bigint, text string")
+    groups = [r["b"] for r in df.groupBy("text").agg(F.sum(F.octet_length("text") + 1).alias("b")).orderBy(F.xxhash64("text")).collect()]
+    for bits, finer, shards in ((2, 3, 4), (4, 8, 16), (16, 8, 5), (1, 1, 3)):
+        monkeypatch.setattr(sharding, "BITS", bits)
+        monkeypatch.setattr(sharding, "FINER", finer)
+        want = next(c for c in range(max(groups), sum(groups) + 1) if greedy(groups, c) <= shards)
+        sizes = [r["b"] for r in sharding.shard_documents(df, shards=shards).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert max(sizes) == want and len(sizes) <= shards
+
+
 def fill(sizes, weights):
     """Shares by weight; those above three times their size stop there and the rest is shared again."""
     total, target, open_ = sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))
@@ -118,6 +135,23 @@ def test_mix(spark):
     assert mixing.plan_mix(data.empty(spark)).count() == 0
 
 
+def test_mix_of_clashing_columns(spark):
+    names = ["source_size", "target", "taken", "rank", "quota", "cut", "draws", "weight", "_src", "_hash", "_block"]
+    plain = spark.createDataFrame([(i, "a b c", "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
+    clashing = plain.selectExpr("*", *[f"'x' AS {n}" for n in names])
+    got = mixing.plan_mix(clashing)
+    assert got.columns == ["doc_id", "text", "source", "rank", "quota", "weight", "_src", "_hash", "_block", "size", "source_size", "target", "taken", "draws", "cut", "mix_hash"]
+    assert sorted(got.select("doc_id", "taken").collect()) == sorted(mixing.plan_mix(plain).select("doc_id", "taken").collect())
+    assert mixing.mix(clashing).columns == [*clashing.columns, "shard", "mix_order"]
+
+
+def test_copies_of_repeated_rows_and_extreme_ids(spark):
+    rows = [(5, "a b")] * 200 + [(i, "a b ") for i in range(6, 90)] + [(-(2**63), "q"), (2**63 - 1, "q"), (None, "q"), (None, "r"), (None, "r")]
+    got = exact_dedup.copy_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()
+    assert len(got) == len(rows) and sorted((str(r["keep_id"]), r["group_size"]) for r in got if r["kept"]) == [("-9223372036854775808", 3), ("6", 284), ("None", 2)]
+    assert {r["doc_id"] for r in got if r["kept"]} == {6, -(2**63), None}
+
+
 def test_mix_is_shuffled_within_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"w{i} a b c", "ab"[i % 2]) for i in range(300)], "doc_id bigint, text string, source string")
     mixed = mixing.mix(df)
@@ -149,8 +183,8 @@ def test_stage_writes_shards_in_their_order(spark):
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {0: 40, 1: 7, 2: 100, 3: 1}
     df = spark.createDataFrame(list(quotas.items()), "rank int, quota bigint")
-    for shards in (1, 5, 16):
-        rows = mixing.split_quotas(df, shards, 3).collect()
+    for shards, chunk in ((1, 256), (5, 256), (16, 256), (5, 2), (16, 1)):
+        rows = mixing.split_quotas(df, shards, 3, chunk).collect()
         assert {k: sum(r["n"] for r in rows if r["rank"] == k) for k in quotas} == quotas
         by_shard = Counter()
         for r in rows:
@@ -162,3 +196,9 @@ def test_split_draws_follow_the_hypergeometric_mean(spark):
     df = spark.createDataFrame([(0, 60), (1, 20)], "rank int, quota bigint")
     left = [next(r["n"] for r in mixing.split_quotas(df, 2, seed).collect() if r["rank"] == 0 and r["shard"] == 0) for seed in range(12)]
     assert 28 <= sum(left) / len(left) <= 32 and len(set(left)) > 1
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'a b c' AS text", "concat('s', id) AS source")
+    rows = mixing.plan_mix(df).collect()
+    assert len(rows) == 3000 and abs(sum(r["taken"] for r in rows) - 9000) <= 3000 and {r["draws"][0]["shard"] for r in rows if r["draws"]} == set(range(16))
