@@ -18,6 +18,7 @@ BLOCK_NODES = 2048  # nodes of a block that are compared in one task; a larger o
 SAMPLE, SAMPLE_CHARS = 4000, 1 << 14  # documents, about, and their length, at most, in which frequent shingles are looked for
 FREQUENT = 8  # documents of the sample that make a shingle frequent
 LEAF, FANOUT = 16, 4
+SHARP = 8  # times wider than a node's are the signatures of sets that are tested: few pairs below the threshold then pass them
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -108,17 +109,19 @@ class Nodes:
         return ok
 
 
-def tree_pairs(rows: Nodes, percent: int, apart=None):
+def tree_pairs(rows: Nodes, percent: int, apart=None, group=None):
     """Pairs i < j of rows that may be linked, in pieces, by dual traversal of a signature tree over the rows by size.
 
     The traversal goes depth first and takes few pairs of nodes at a time, so what it holds does not grow
-    with the number of pairs. apart(i, j) tells, at the time of asking, which pairs of rows are wanted.
+    with the number of pairs. apart(i, j) tells, at the time of asking, which pairs of rows are wanted, and
+    group() gives each row's group, a new array after each change: nodes of one group are not descended into.
     """
     n = len(rows.low)
     order = np.lexsort((rows.some[:, 0], rows.high))
     levels = [rows.take(order)]
     while len(levels[-1].low) > 1:
         levels.append(levels[-1].parents(LEAF if len(levels) == 1 else FANOUT))
+    known, spans = None, []  # of each level's nodes, the smallest and largest group
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if n > 1 else []
     while stack:
         depth, i, j = stack.pop()
@@ -129,6 +132,15 @@ def tree_pairs(rows: Nodes, percent: int, apart=None):
             if keep.any():
                 yield np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep])
             continue
+        if group is not None:
+            if (now := group()) is not known:
+                known, spans = now, [(now[order], now[order])]
+                while len(spans) < len(levels):
+                    at = np.arange(0, len(spans[-1][0]), LEAF if len(spans) == 1 else FANOUT)
+                    spans.append((np.minimum.reduceat(spans[-1][0], at), np.maximum.reduceat(spans[-1][1], at)))
+            first, last = spans[depth]
+            keep = (first[i] != last[j]) | (first[j] != last[i])
+            i, j = i[keep], j[keep]
         keep = levels[depth].may_link(i, j, percent) | (i == j)
         i, j = i[keep], j[keep]
         fan, below = (LEAF if depth == 1 else FANOUT), len(levels[depth - 1].low)
@@ -173,7 +185,7 @@ def by_width(low: np.ndarray, high: np.ndarray, width: np.ndarray, percent: int)
 def connect(sets: list[np.ndarray], groups: Groups, percent: int) -> list[tuple[int, int]]:
     """Joins the groups of linked sets; returns links that did so. Pairs already in one group need no test."""
     n = np.array([len(s) for s in sets], np.int64)
-    width = np.array([width_of(k) for k in n])
+    width = np.array([SHARP * width_of(k) for k in n])
     signs = [signature(s, w) for s, w in zip(sets, width, strict=True)]
     out = []
     for w, own in by_width(n, n, width, percent):
@@ -185,7 +197,8 @@ def connect(sets: list[np.ndarray], groups: Groups, percent: int) -> list[tuple[
         def apart(i, j, own=own, wide=wide):
             return (tops[own[i]] != tops[own[j]]) & ~(wide[i] & wide[j])
 
-        for i, j in tree_pairs(Nodes(n[own], n[own], bits, bits), percent, apart):
+        mine = tops[own]
+        for i, j in tree_pairs(Nodes(n[own], n[own], bits, bits), percent, apart, lambda: mine):
             joined = False
             for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True):
                 if groups.top(x) != groups.top(y) and linked(sets[x], sets[y], percent):
@@ -194,6 +207,7 @@ def connect(sets: list[np.ndarray], groups: Groups, percent: int) -> list[tuple[
                     joined = True
             if joined:
                 tops = groups.tops()
+                mine = tops[own]
     return out
 
 
@@ -364,7 +378,7 @@ def _forest(percent: int):
                 def unknown(i, j):
                     return (tops[i] != tops[j]) & ~(beyond[i] & beyond[j])
 
-                for i, j in tree_pairs(nodes.take(inside), percent, unknown):
+                for i, j in tree_pairs(nodes.take(inside), percent, unknown, lambda: tops):
                     join(own[inside[i]], own[inside[j]])
                     tops = np.array([groups.top(x) for x in mine])
         return pa.table({"u": pa.array([names[x] for x, _ in out], pa.int64()), "v": pa.array([names[y] for _, y in out], pa.int64())})
@@ -400,11 +414,16 @@ def _test_leaders(percent: int):
             tops, r, n = groups.tops(), radius[rows], np.array([len(s) for s in own])
             if (tops == tops[0]).all():
                 continue
+            opened = np.zeros(len(own), bool)
             for x in np.flatnonzero(r > 0).tolist():
                 far = 1 - percent / 100 + r[x] + r + 1e-9
                 others = np.flatnonzero((tops != tops[x]) & (np.minimum(n, n[x]) >= (1 - far) * np.maximum(n, n[x])))
-                found = [y for y in others.tolist() if distance(own[x], own[y]) <= far[y]]
-                out += [(int(node[rows[k]]), None) for k in ([x, *found] if found else [])]
+                for y in others[np.argsort(opened[others], kind="stable")].tolist():
+                    if opened[x] and opened[y]:
+                        break  # as are all that follow
+                    if distance(own[x], own[y]) <= far[y]:
+                        opened[x] = opened[y] = True
+            out += [(int(k), None) for k in node[rows[opened]]]
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return test

@@ -116,6 +116,31 @@ def test_large_group_of_near_copies(spark):
     assert len(got) == 5000 and {r["component_id"] for r in got} == {7}
 
 
+def test_copies_below_the_threshold_are_told_apart_by_signatures():
+    """400 copies of 400 shingles, all of them a little too far from each other: few pairs are tested on whole sets."""
+    rng = np.random.default_rng(5)
+    draw = lambda k: rng.integers(0, 1 << 48, k).astype(np.uint64)
+    base, sets = draw(400), []
+    for _ in range(400):
+        k = int(rng.integers(60, 110))
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[k:], draw(k)])))
+    sets += [sets[0][5:], sets[1][5:]]
+    want = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if near_dup.linked(x, y, 75)}
+    tests, plain = [0], near_dup.linked
+
+    def counted(*args):
+        tests[0] += 1
+        return plain(*args)
+
+    near_dup.linked = counted
+    try:
+        got = near_dup.connect(sets, near_dup.Groups(len(sets)), 75)
+    finally:
+        near_dup.linked = plain
+    assert components(got, range(len(sets))) == components(want, range(len(sets))) and {(0, 400), (1, 401)} <= want
+    assert tests[0] < 4 * len(sets)
+
+
 def near_dup_set(text):
     from plumbline.llm.words import shingles, unpack48, pack48
 
