@@ -15,8 +15,9 @@ WINDOW_BYTES = 8 << 20  # text that a task contracts at once
 KEY_BYTES = 8 << 20  # text whose keys meet in a task
 CHUNK_BYTES = 12 << 20  # sets that are tested together
 BLOCK_NODES = 2048  # nodes of a block that are compared in one task; a larger one is compared by pairs of its parts
-SAMPLE, SAMPLE_CHARS = 4000, 1 << 14  # documents, about, and their length, at most, in which frequent shingles are looked for
-FREQUENT = 8  # documents of the sample that make a shingle frequent
+FREQUENT = 32  # sets that make a shingle frequent
+LISTED = 1 << 20  # frequent shingles, at most, that travel to all tasks, the most frequent ones; with more of them only higher powers of two count as frequent
+RUN_KEYS = 1 << 21  # shingles that a task counts at once
 LEAF, FANOUT = 16, 4
 SHARP = 8  # times wider than a node's are the signatures of sets that are tested: few pairs below the threshold then pass them
 
@@ -45,18 +46,24 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - both / (len(a) + len(b) - both)
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in one order for all sets, infrequent before frequent and then by hash,
-    so many that two linked sets have one of them in common."""
+def prefix(s: np.ndarray, frequent: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in one order for all sets, by level and then by hash, so many that two linked
+    sets have one of them in common. frequent has the keys (see count_key) of shingles with a level above 0."""
     n = len(s)
     p = n - -(-percent * n // 100) + 1
     if len(frequent) and n:
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = frequent[at] == s
-        return np.concatenate([s[~often], s[often]])[:p]
+        key = count_key(s)
+        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
+        often = np.where(frequent[at] == key, level[at], 0)
+        return s[np.argsort(often, kind="stable")[:p]]
     return s[:p]
 
 
+def count_key(s: np.ndarray) -> np.ndarray:
+    """The upper 32 of a shingle's 48 bits, by which it is counted: two with the same key add up, which only orders them."""
+    return (s >> np.uint64(16)).astype(np.uint32)
+
+
 def width_of(n: int) -> int:
     """Bits of a signature: a power of two that keeps about half of them clear."""
     return max(64, 1 << max(0, int(0.8 * n) - 1).bit_length())
@@ -211,20 +218,65 @@ def connect(sets: list[np.ndarray], groups: Groups, percent: int) -> list[tuple[
     return out
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles of FREQUENT or more of about SAMPLE documents: an order of shingles, which no result depends on."""
-    from plumbline.llm.words import shingles
-
-    text = text_or_empty(F.col(text_col))
-    some = docs.filter((F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLE))) == 0) & (F.length(text) <= SAMPLE_CHARS)).select(text.alias("t")).limit(2 * SAMPLE)
-
-    def count(t: pa.Table) -> pa.Table:
-        found = [shingles(x.as_py()) for x in t.column("t")]
-        s, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.table({"s": pa.array([s[n >= FREQUENT].tobytes()], pa.binary())})
-
-    row = some.groupBy(F.lit(0).alias("g")).applyInArrow(count, "s binary").first()
-    return np.frombuffer(row[0], np.uint64) if row else np.zeros(0, np.uint64)
+def _key_rows(batches):
+    """Of sets: their shingles' keys, sorted, in a row for each run and value of the upper 9 bits: how many have each value of the next 7 bits, and the lower 16 bits."""
+    from plumbline.llm.words import unpack48
+
+    caches.only("none")
+    held: list[np.ndarray] = []
+    n = 0
+
+    def rows() -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(held))
+        top = np.bincount(keys >> np.uint32(16), minlength=1 << 16).astype("<u4").reshape(512, 128)
+        ends = np.cumsum(top.sum(axis=1, dtype=np.int64))
+        low = (keys & np.uint32(0xFFFF)).astype("<u2")
+        data = [top[b].tobytes() + x.tobytes() for b, x in enumerate(np.split(low, ends[:-1]))]
+        full = [b for b, d in enumerate(data) if len(d) > 512]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([data[b] for b in full], pa.binary())], names=["bucket", "keys"])
+
+    for batch in batches:
+        for x in batch.column(0):
+            held.append(count_key(unpack48(x.as_buffer())))
+            n += len(held[-1])
+            if n >= RUN_KEYS:
+                yield rows()
+                held, n = [], 0
+    if n:
+        yield rows()
+
+
+def _count_keys(batches):
+    """Of a task's rows of keys: those that FREQUENT sets or more have, and the floor of their number's logarithm to base 2."""
+    keys = []
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = data.as_buffer()
+            top = np.repeat(np.arange(128, dtype=np.uint32) + np.uint32(bucket << 7), np.frombuffer(data, "<u4", 128))
+            keys.append(top << np.uint32(16) | np.frombuffer(data, "<u2", -1, 512))
+    if not keys:
+        return
+    keys = np.sort(np.concatenate(keys))
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    times = np.diff(np.r_[starts, len(keys)])
+    often = times >= FREQUENT
+    level = np.frexp(times[often].astype(np.float64))[1] - 1
+    yield pa.RecordBatch.from_arrays([pa.array(keys[starts[often]].astype(np.int64)), pa.array(level.astype(np.int32))], names=["key", "level"])
+
+
+def frequent_shingles(sets: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of frequent shingles and their levels, counted over all rows of sets (set): an order of shingles, which no result depends on."""
+    rows = sets.select("set").mapInArrow(_key_rows, "bucket int, keys binary").repartition(min(tasks, 512), "bucket")
+    found = materialise(rows.mapInArrow(_count_keys, "key bigint, level int"), "near-frequent")
+    least, listed = 64, 0
+    for row in sorted(found.groupBy("level").count().collect(), reverse=True):
+        if listed + row["count"] > LISTED:
+            break
+        least, listed = row["level"], listed + row["count"]
+    t = found.filter(F.col("level") >= least).toArrow()
+    key, level = t.column("key").to_numpy().astype(np.uint32), t.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(key)
+    return key[order], level[order]
 
 
 _NODES = pa.schema([
@@ -529,7 +581,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
-    frequent = spark.sparkContext.broadcast(np.unique(frequent_shingles(rows, "id", "text") >> np.uint64(16)))  # 2 * SAMPLE * SAMPLE_CHARS / FREQUENT / 2 numbers at most
 
     def contract(batches):
         from pyspark import TaskContext
@@ -556,19 +607,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twins = nodes.select(F.col("node").alias("u"), "digest").join(first_of, "digest").filter("u <> v").select("u", "v")
     twins = materialise(twins, "near-twins")
     once = members.filter("set IS NOT NULL").select("node", "set").join(hinted(twins.select(F.col("u").alias("node"))), "node", "left_anti")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // KEY_BYTES))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(once, parts))  # 5 * LISTED bytes at most
 
     def tokens(batches):
         from plumbline.llm.words import unpack48
 
         caches.only("none")
         for batch in batches:
-            found = [prefix(unpack48(x.as_buffer()), frequent.value, percent) for x in batch.column(1)]
+            found = [prefix(unpack48(x.as_buffer()), *frequent.value, percent) for x in batch.column(1)]
             owner = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
             found = np.concatenate(found).view(np.int64) if found else owner
             for a in range(0, len(found), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 16)]), pa.array(owner[a : a + (1 << 16)])], names=["token", "node"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // KEY_BYTES))
     keys = once.mapInArrow(tokens, "token bigint, node bigint").repartition(parts, "token")
     blocks = materialise(keys.mapInArrow(_meet, "block bigint, node bigint, size bigint").distinct(), "near-blocks")
     split = blocks.withColumn("parts", F.ceil(F.col("size") / BLOCK_NODES)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))

@@ -2,6 +2,7 @@ import random
 
 import data
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import graph, near_dup, vectors
@@ -141,6 +142,28 @@ def test_copies_below_the_threshold_are_told_apart_by_signatures():
     assert tests[0] < 4 * len(sets)
 
 
+def test_frequent_shingles_are_counted_over_all_rows(spark, monkeypatch):
+    """No sample and no length limit: exact counts, in one run of a task or in several, and the most frequent ones where a list would be too long."""
+    from plumbline.llm.words import pack48
+
+    rng = np.random.default_rng(3)
+    common = [(int(x), n) for x, n in zip(rng.integers(0, 1 << 48, 9), [31, 32, 33, 63, 64, 100, 128, 200, 300], strict=True)]
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 48, 5000 if i < 40 else 20), [x for x, n in common if i < n]]).astype(np.uint64)) for i in range(6000)]
+    rows = spark.createDataFrame([(bytearray(pack48(s << np.uint64(16))),) for s in sets], "set binary").repartition(7)
+    want = sorted((x >> 16, n.bit_length() - 1) for x, n in common if n >= near_dup.FREQUENT)
+    listed = lambda: [(int(k), int(v)) for k, v in zip(*near_dup.frequent_shingles(rows, 5), strict=True)]
+    assert listed() == want
+    monkeypatch.setattr(near_dup, "LISTED", 4)
+    assert listed() == [x for x in want if x[1] >= 7]
+    monkeypatch.setattr(near_dup, "RUN_KEYS", 1000)
+    batch = pa.RecordBatch.from_arrays([pa.array([pack48(s << np.uint64(16)) for s in sets[:300]], pa.binary())], names=["set"])
+    (out,) = near_dup._count_keys(near_dup._key_rows([batch]))
+    assert sorted(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)) == sorted((x >> 16, min(n, 300).bit_length() - 1) for x, n in common if n >= 32)
+    key, level = (np.array(c) for c in zip(*want, strict=True))
+    first = near_dup.prefix(sets[0], key.astype(np.uint32), level, 75)
+    assert len(first) == len(sets[0]) - -(-75 * len(sets[0]) // 100) + 1 and not {x for x, n in common if n >= 32} & set(first.tolist())
+
+
 def near_dup_set(text):
     from plumbline.llm.words import shingles, unpack48, pack48
 
