@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, discard, materialise, text_or_empty
+from plumbline.llm.common import SMALL, WORD, discard, materialise, text_or_empty
 
 #: Blocks of each source, and the finer pieces in which a source's boundary is found.
 BLOCKS, PIECES = 64, 1024
@@ -102,6 +102,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     reruns agree. Null texts are empty, a null source is a source, empty tables give empty results; a
     source with words in no document has target 0. Sources are spread over BLOCKS * PIECES keys, so a
     source with a third of all rows is no hot key. Sources are ranked in one task, a row for each.
+    Texts stay where they are read but for those of a source's last piece, in which the cut is looked for:
+    the plan is a row for each block, broadcast if there are few.
     """
     key = F.xxhash64(F.lit(seed), F.col(id_col), text_or_empty(F.col(text_col)))
     # The table's own columns go by number, so that none of them clashes with what is added.
@@ -117,7 +119,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     pieces = pieces.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
     pieces = pieces.join(targets, pieces["_src"].eqNullSafe(targets["source"])).drop("source")
 
-    blocks = pieces.groupBy("rank", "_block").agg(F.min("_before").alias("_before"), F.sum("_words").alias("_words"), F.first("_passes").alias("_passes"), F.first("_rest").alias("_rest"))
+    # A source is cut in the last piece that begins before its rest is reached; pieces before are taken whole, those after not.
+    number = F.col("_block") * PIECES + F.col("_piece")
+    per_source = [F.first(c).alias(c) for c in ("_src", "_passes", "_rest", "source_size", "target")]
+    last_piece = F.max(F.when(F.col("_before") < F.col("_rest"), number)).alias("_last")
+    blocks = pieces.groupBy("rank", "_block").agg(F.min("_before").alias("_before"), F.sum("_words").alias("_words"), last_piece, *per_source)
+    blocks = materialise(blocks, "mix-blocks")
+    edges = blocks.groupBy("rank").agg(F.max("_last").alias("_edge"))
+    edge_starts = pieces.filter(F.col("_before") < F.col("_rest")).groupBy("rank").agg(F.max("_before").alias("_start"))
     last = F.when((F.col("_words") > 0) & (F.col("_before") < F.col("_rest")), F.array("_passes")).otherwise(F.array().cast("array<int>"))
     full = F.when((F.col("_words") > 0) & (F.col("_passes") > 0), F.sequence(F.lit(0), F.col("_passes") - 1)).otherwise(F.array().cast("array<int>"))
     drawn = blocks.select("rank", "_block", F.explode(F.concat(full, last)).alias("_pass"))
@@ -128,14 +137,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     permuted = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "_pass", "_block"), "_pass", "_block")
     drawn = drawn.withColumn("_place", F.row_number().over(permuted).cast("bigint")).join(places, ["rank", "_place"])
     drawn = drawn.groupBy("rank", "_block").agg(F.array_sort(F.collect_list(F.struct(F.col("_pass").alias("pass"), "shard"))).alias("_draws"))
-    where = materialise(pieces.join(drawn, ["rank", "_block"], "left").select("_src", "_block", "_piece", "_before", "_passes", "_rest", "source_size", "target", "_draws"), "mix-plan")
-
-    within = Window.partitionBy("_src", "_block", "_piece").orderBy("_hash", own[id_col]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    at = where.withColumnsRenamed({"_src": "_s", "_block": "_b", "_piece": "_p"})
-    rows = rows.join(at, rows["_src"].eqNullSafe(at["_s"]) & (rows["_block"] == at["_b"]) & (rows["_piece"] == at["_p"]))
-    cut = F.least(F.greatest(F.col("_rest") - F.col("_before") - F.col("_within"), F.lit(0)), F.col("size"))
-    rows = rows.withColumn("_cut", cut)
+    where = blocks.join(drawn, ["rank", "_block"], "left").join(edges, "rank").join(edge_starts, "rank", "left")
+    where = where.select(F.col("_src").alias("_s"), F.col("_block").alias("_b"), "_passes", "_rest", "source_size", "target", "_draws", "_edge", "_start")
+    where = materialise(where, "mix-plan")
+
+    at = F.broadcast(where) if where.count() <= SMALL // 8 else where
+    rows = rows.join(at, rows["_src"].eqNullSafe(at["_s"]) & (rows["_block"] == at["_b"]))
+    number = F.col("_block") * PIECES + F.col("_piece")
+    inner = rows.filter(F.coalesce(number != F.col("_edge"), F.lit(True))).withColumn("_cut", F.when(number < F.col("_edge"), F.col("size")).otherwise(0))
+    within = Window.partitionBy("_src").orderBy("_hash", own[id_col]).rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.filter(number == F.col("_edge")).withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    cut = F.least(F.greatest(F.col("_rest") - F.col("_start") - F.col("_within"), F.lit(0)), F.col("size"))
+    rows = inner.unionByName(edge.withColumn("_cut", cut).drop("_within"))
     draws = F.filter(F.coalesce("_draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("_passes")) | (F.col("_cut") > 0)))
     added = {"size", "source_size", "target", "taken", "draws", "cut", "mix_hash"}
     return rows.select(

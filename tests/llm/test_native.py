@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import data
 import pyarrow.parquet as pq
+import pytest
 
 from plumbline.llm import exact_dedup, mixing, sharding
 
@@ -135,6 +136,31 @@ def test_mix(spark):
     assert mixing.plan_mix(data.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_mix_moves_no_text_but_at_boundaries(spark, small, monkeypatch):
+    """Documents meet the plan where they are read, or in one join; only those of a source's last piece go to a window."""
+    monkeypatch.setattr(mixing, "SMALL", small)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0L, id % 7), k -> concat('w', id + k))) AS text", "if(id % 5 = 0, null, concat('s', id % 5)) AS source")
+    plan = mixing.plan_mix(docs)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [") == 1 and "_piece" not in text.split("Window [")[1].split("\n")[0]
+    if small:
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    rows = plan.collect()
+    sizes, taken, cuts = Counter(), Counter(), Counter()
+    for r in rows:
+        n = r["doc_id"] % 7 + 1
+        passes = (r["taken"] - r["cut"]) // n
+        assert r["size"] == n and 0 <= r["cut"] <= n and r["taken"] <= 3 * n and len(r["draws"]) == passes + (r["cut"] > 0)
+        sizes[r["source"]] += n
+        taken[r["source"]] += r["taken"]
+        cuts[r["source"]] += 0 < r["cut"] < n
+    names = ["s1", "s2", "s3", "s4", None]
+    want = fill([sizes[s] for s in names], [1 + i % 3 for i in range(5)])
+    assert len(rows) == 3000 and max(cuts.values()) <= 1
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-9 for s, t in zip(names, want))
+
+
 def test_mix_of_clashing_columns(spark):
     names = ["source_size", "target", "taken", "rank", "quota", "cut", "draws", "weight", "_src", "_hash", "_block"]
     plain = spark.createDataFrame([(i, "a b c", "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
