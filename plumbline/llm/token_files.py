@@ -19,6 +19,10 @@ RUN = 4096  # parts whose files' places are summed up together
 SAMPLE = 256  # every so many-th one of the high part has its position stored
 
 
+#: The place of the n-th set bit of each byte.
+_NTH_BIT = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A non-decreasing sequence of n numbers up to top in n * (2 + log2(top / n)) bits, about; select(i) is the i-th."""
 
@@ -58,6 +62,26 @@ class EliasFano:
         low = int.from_bytes(self.low[start >> 3 : (start + self.low_bits + 7) >> 3].tobytes(), "little") >> (start & 7)
         return (place - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
+    def select_all(self, i: np.ndarray) -> np.ndarray:
+        """select for many numbers at once: the byte of each one's bit by the sums of the bytes' bits, its place there from a table."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return i
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError("select_all")
+        upto = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
+        byte = np.searchsorted(upto, i, side="right")
+        nth = i - (upto[byte] - np.bitwise_count(self.high[byte]))
+        out = ((byte << 3) + _NTH_BIT[self.high[byte], nth] - i) << self.low_bits
+        if self.low_bits:
+            at = i * self.low_bits
+            low = np.concatenate([self.low, np.zeros(8, np.uint8)])
+            words = np.zeros(len(i), np.uint64)
+            for k in range((self.low_bits + 14) // 8):
+                words |= low[(at >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
+            out |= ((words >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return out
+
     def decode(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
@@ -180,7 +204,7 @@ def read_token_files(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 f = TokenFile(memoryview(data.as_buffer()))
-                ends = np.fromiter(map(f.ends.select, range(f.n)), np.int64, f.n)
+                ends = f.ends.select_all(np.arange(f.n))
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if f.n else ends
                 crcs = [zlib.crc32(f.ids[a:b].astype("<u4")) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -43,6 +43,7 @@ class Encoder:
     """encode(text) gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives."""
 
     _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+    _TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)\Z")  # without the apostrophe, which may take letters along
     _TWO_SPACES = re.compile(r"\s\s")
 
     def __init__(self, path: str):
@@ -63,7 +64,8 @@ class Encoder:
         hidden = iter(range(256, 512))
         self.byte_text = {b: b if b in set(visible) else next(hidden) for b in range(256)}
         self.space = chr(self.byte_text[32]) if self.keeps_space else ""
-        self.first, self.later = _Cache(lambda w: self._word(w, "")), _Cache(lambda w: self._word(w, " "))
+        self.first = _Cache(lambda w: self._word(w, ""))
+        self.later = _Cache(lambda w: self._word(w, " ")) if self.keeps_space else self.first
 
     def _pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
@@ -83,11 +85,15 @@ class Encoder:
         if len(word) > 1 and word[-1] in ".,!" and self._LETTERS.match(word[:-1]):
             cache = self.later if before else self.first
             return cache[word[:-1]] + self.first[word[-1]]
+        if not self.keeps_space and (m := self._TAIL.match(word)):
+            return self.first[m[1]] + self.first[m[2]]
         return self._pack(self.tokenizer.encode((before if self.keeps_space else "") + word, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.known or (self.keeps_space and self._TWO_SPACES.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        if not self.keeps_space:
+            text = text.replace("\n", " ")  # which its normalizer does, so that words at a line's end are words met before
         head, *rest = text.split(" ")
         parts = [self.first[head] if head else b"", *map(self.later.__getitem__, rest)]
         return np.frombuffer(b"".join(parts), self.dtype)

@@ -121,6 +121,38 @@ def test_elias_fano():
     assert big.low.nbytes + big.high.nbytes + big.samples.nbytes < 10000 * 2
 
 
+@pytest.mark.parametrize("step", [0, 1, 3, 700, 10**6, 1 << 40])
+def test_select_of_many_numbers(step):
+    rng = random.Random(step)
+    values = np.cumsum([rng.randint(0, step) for _ in range(1000)], dtype=np.int64)
+    ef = token_files.EliasFano.encode(values)
+    some = np.array([rng.randrange(1000) for _ in range(50)])
+    assert ef.select_all(np.arange(1000)).tolist() == values.tolist() == [ef.select(i) for i in range(1000)]
+    assert ef.select_all(some).tolist() == values[some].tolist() and len(ef.select_all(some[:0])) == 0
+    for i in (-1, 1000):
+        with pytest.raises(IndexError):
+            ef.select_all(np.array([0, i]))
+
+
+def test_words_at_a_lines_end_are_cached():
+    """The vocabulary that drops white space takes a line's end as a space: a word is tokenized once wherever it stands."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, cached = Tokenizer.from_file(path), tokens.Encoder(path)
+    text = "one two\nthree one\n\ntwo three\none \n e\n\u0301t <|endoftext|>\n's\n"
+    assert cached.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {"one", "two", "three"} <= set(cached.first) and not any("\n" in w for w in {**cached.first, **cached.later})
+
+
+def test_symbols_behind_letters_are_cached_apart():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, cached = Tokenizer.from_file(path), tokens.Encoder(path)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("aTéÖ") for _ in range(rng.randint(1, 4))) + "".join(rng.choice("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for _ in range(rng.randint(1, 4))) for _ in range(2000)]
+    for word in ["to%%%", "An,&&&", *words]:
+        assert cached.encode(word).tolist() == plain.encode(word, add_special_tokens=False).ids, word
+    assert {"to", "%%%", "An", ",&&&"} <= set(cached.first)
+
+
 def test_file_round_trip():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3], [2], [], [65535, 0])]
     f = token_files.TokenFile(token_files.dump([4, None, -7, 2**60], docs, np.dtype("<u2")))
