@@ -23,6 +23,7 @@ from plumbline.model import Entity, Metric, Outcome, ResultKey
 from plumbline.operators import grouping as G
 from plumbline.operators import scan as S
 from plumbline.operators.states import FileStateProvider, InMemoryStateProvider
+from plumbline.plans.quantiles import exact_quantiles
 from plumbline.plans.runner import Analysis, AnalysisRunner, AnalyzerContext, grouping_metrics, merged_states, metric_frame, run_analysis, run_on_aggregated_states, scan_metrics, state_frame
 from plumbline.sources.files import read_text
 from plumbline.sources.repository import AnalysisResult, FileMetricsRepository, InMemoryMetricsRepository, history_filter
@@ -169,7 +170,7 @@ def _quantiles(spark: SparkSession, d: str) -> DataFrame:
     df, qs = _table("lineitem")(spark, d), (0.25, 0.5, 0.75)
     analyzer = S.ApproxQuantiles("l_extendedprice", qs)
     found = run_analysis(df, [analyzer])[analyzer].value.values
-    bounds = df.agg(*(F.percentile("l_extendedprice", q + e) for q in qs for e in (-0.02, 0.02))).first()
+    bounds = exact_quantiles(df, "l_extendedprice", [q + e for q in qs for e in (-0.02, 0.02)])
     rows = [(q, round(bounds[2 * i], 4), round(bounds[2 * i + 1], 4), bounds[2 * i] <= found[repr(q)].ratio <= bounds[2 * i + 1]) for i, q in enumerate(qs)]
     return spark.createDataFrame(rows, "quantile double, low double, high double, within boolean")
 
