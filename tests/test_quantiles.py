@@ -63,7 +63,7 @@ def bytes_read(spark) -> dict[int, int]:
     return {(s := stages.apply(i)).stageId(): s.shuffleReadBytes() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["approx_quantiles"])
+@pytest.mark.parametrize("name", ["approx_quantiles", "approx_quantile_within_error"])
 def test_no_task_reads_all_values(spark, tmp_path, name):
     spark.range(600_000).select((F.col("id") * 7919 % 600_011 * 0.01).alias("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
     before = bytes_read(spark)
